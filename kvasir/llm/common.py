@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvasir.functions.shipping import ship
+
 _ROOTS: dict[str, tuple] = {}
 
 
@@ -57,6 +59,7 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
