@@ -34,7 +34,7 @@ from kvasir.llm.common import drop, partitions_for, scratch, stage, table
 
 FORMAT = b"KVTB"
 BLOCK_IDS = 1 << 18
-STRIDE = 512
+STRIDE = 128
 PART_IDS = 6 << 20
 _DOC = np.dtype([("doc_id", "<i8"), ("seq", "<u4"), ("piece", "<u4"), ("n", "<u4"), ("flags", "<u4")])
 
@@ -44,7 +44,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, kind: str = "byte", end_id: i
     spec = tokens.source(docs.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.WordEncoder(spec.value, kind)
+        enc = tokens.encoder(spec.value, kind)
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):

@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, kind: str = "word", end_id: int
     spec = tokens.source(docs.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.WordEncoder(spec.value, kind)
+        enc = tokens.encoder(spec.value, kind)
         end = np.array([end_id], enc.dtype).tobytes()
         uid = TaskContext.get().partitionId() << 32
         for batch in batches:

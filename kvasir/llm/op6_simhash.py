@@ -6,9 +6,10 @@ blocks, so every choice of ``m - d`` blocks is a join key and each close pair me
 result is the same for any ``m``.  Copies collapse to one fingerprint before anything is joined.
 
 A key held by more than ``BUCKET`` fingerprints emits no pairs.  Its members meet exactly in another
-way: two words at distance at most 2r share a word within r flips of both, so each member is dealt to
-the words within ``r = d / 2`` flips of the bits outside the key, and whoever meets there is linked.  At
-most ``1 + 64`` members can meet at one word (r = 1), so the work is linear in the bucket.
+way.  For ``d = 2``: two words at distance 2 or less share a word within one flip of both, so each member
+is dealt to the words within one flip of the bits outside the key, and whoever meets there is linked; at
+most ``1 + 64`` members can meet at one word, so the work is linear in the bucket.  For larger ``d``: the
+bucket is dealt to tiles of ``TILE`` members, a task compares two tiles and emits a spanning forest.
 
 Defined results: a null or empty text has no word and the fingerprint zero, linked like any other; a
 text of fewer words than a shingle is one shingle; repeated rows keep a row each; a null doc_id takes no
@@ -33,6 +34,7 @@ from kvasir.llm.common import components, stage, table
 SHINGLE = 3
 DISTANCE = 2
 BUCKET = 24
+TILE = 8192
 
 
 def _shingle_hashes(text: str | None, k: int) -> list[int]:
@@ -97,17 +99,53 @@ def _masks(m: int, d: int) -> list[int]:
     return [reduce(int.__or__, c, 0) for c in combinations(blocks, m - d)]
 
 
+def forest(words: np.ndarray, d: int) -> list[tuple[int, int]]:
+    """Edges, one fewer than words in each component, that connect what distances of ``d`` or less connect."""
+    left, out = np.arange(len(words)), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = np.bitwise_count(words[left] ^ words[i]) <= d
+            out.extend((int(i), int(j)) for j in left[near])
+            queue.extend(left[near])
+            left = left[~near]
+    return out
+
+
+def _met_by_flips(many: DataFrame) -> DataFrame:
+    flips = [0, *(_signed(1 << i) for i in range(64))]
+    return (
+        many.select("fp", "mask", F.explode(F.array(*[F.lit(x) for x in flips])).alias("flip"))
+        .filter(F.col("flip").bitwiseAND(F.col("mask")) == 0)
+        .select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("place"))
+        .groupBy("place").agg(F.collect_set("fp").alias("at")).filter(F.size("at") > 1)  # 1 + 64 at most
+        .select(F.array_min("at").alias("a"), F.explode("at").alias("b")).filter("a < b")
+    )
+
+
+def _met_in_tiles(many: DataFrame, d: int) -> DataFrame:
+    own = many.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    dealt = own.select("mask", "key", "fp", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
+    pairs = dealt.groupBy("mask", "key", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u")).agg(F.collect_set("fp").alias("at"))  # about two tiles
+
+    def run(batches):
+        for batch in batches:
+            for at in batch.column(0):
+                words = np.sort(np.array(at.as_py(), np.int64))
+                found = np.array(forest(words.view(np.uint64), d), np.int64).reshape(-1, 2)
+                ends = words[found]
+                yield pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], ["a", "b"])
+
+    return pairs.select("at").mapInArrow(run, "a long, b long")
+
+
 def links(words: DataFrame, n: int, d: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of the distinct ``fp`` words (``n`` of them) that connect all at distance ``d`` or less.
 
-    ``d`` is even.  Every pair that a small bucket holds comes out; in a large one, pairs to the least
-    of each meeting place, which connect the same words.
+    Every pair that a small bucket holds comes out; of a large one, pairs that connect the same words.
     """
-    if d % 2:
-        raise ValueError("d must be even")
-    if not d:
-        return words.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    m = next(m for m in range(d + 1, 33) if 64 * (m - d) // m >= min(math.log2(max(n, 2)) + 3, 48))
+    m = next(m for m in range(d + 1, 65) if 64 * (m - d) // m >= min(math.log2(max(n, 2)) + (3 if d <= 2 else 0), 48))
     masks = [_signed(x) for x in _masks(m, d)]
     keys = words.select("fp", F.explode(F.array(*[F.lit(x) for x in masks])).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     sizes = keys.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -118,15 +156,7 @@ def links(words: DataFrame, n: int, d: int = DISTANCE, bucket: int = BUCKET) ->
         few.select("mask", "key", F.col("fp").alias("a")).join(few.select("mask", "key", F.col("fp").alias("b")), ["mask", "key"])
         .filter((F.col("a") < F.col("b")) & near).select("a", "b")
     )
-    flips = [0, *(_signed(reduce(int.__or__, c)) for r in range(1, d // 2 + 1) for c in combinations([1 << i for i in range(64)], r))]
-    met = (
-        many.select("fp", "mask", F.explode(F.array(*[F.lit(x) for x in flips])).alias("flip"))
-        .filter(F.col("flip").bitwiseAND(F.col("mask")) == 0)
-        .select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("place"))
-        .groupBy("place").agg(F.collect_set("fp").alias("at")).filter(F.size("at") > 1)  # 1 + 64 at most where d is 2
-        .select(F.array_min("at").alias("a"), F.explode("at").alias("b")).filter("a < b")
-    )
-    return pairs.unionByName(met)
+    return pairs.unionByName(_met_by_flips(many) if d == 2 else _met_in_tiles(many, d))
 
 
 def cluster(prints: DataFrame, d: int = DISTANCE) -> DataFrame:
@@ -144,6 +174,54 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, d: int = DISTANCE) -> Dat
     return cluster(stage(fingerprints(docs, k), "op6-fp"), d)
 
 
+def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """``uid, set``: the distinct hashes of a text's shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [np.unique(np.array(_shingle_hashes(t, k), np.uint64)).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["uid", "set"])
+
+    return docs.select("uid", "text").mapInArrow(run, "uid long, set array<long>")
+
+
+def keep_one(docs: DataFrame, k: int = 2, d: int = 6, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, its smallest doc_id.
+
+    Fingerprints of ``k``-word shingles within ``d`` bits propose groups.  A document goes only if its
+    distinct ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more with those of a
+    document that stays: each round the first document left of each group stays and takes with it
+    those similar to it, until each group is settled.  Each round compares a document with one other.
+    Repeated rows are copies of one another; texts without a word are, too.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = stage(docs.withColumn("uid", F.monotonically_increasing_id()), "op6-docs")  # the written file fixes the number
+    prints = stage(fingerprints(own.select(F.col("uid").alias("doc_id"), "text"), k), "op6-fp")
+    # documents of a fingerprint's component, if there are two or more
+    grouped = cluster(prints, d).select(F.col("doc_id").alias("uid"), F.col("component_id").alias("grp"))
+    sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stage(grouped.join(sizes, "grp").select("uid", "grp"), "op6-members")
+    texts = own.select("uid", F.col("doc_id").cast("long").alias("id"), text.alias("text")).join(members, "uid")
+    # exact copies first: of equal texts the smallest doc_id stays a candidate
+    first = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), F.col("uid"))
+    texts = stage(texts.select("uid", "grp", "text", F.xxhash64("text").alias("h"), first.alias("rank")), "op6-texts")
+    one = texts.groupBy("grp", "h", F.length("text").alias("size")).agg(F.min("rank").alias("rank"))
+    left = stage(one.select("grp", "rank", F.col("rank.uid").alias("uid")).join(_shingle_sets(texts, shingle), "uid"), "op6-left")
+    gone = texts.select("uid").join(one.select(F.col("rank.uid").alias("uid")), "uid", "left_anti")
+    while not left.isEmpty():
+        heads = left.groupBy("grp").agg(F.min("rank").alias("head"))
+        first_sets = left.join(heads, "grp").filter(F.col("rank") == F.col("head")).select("grp", "head", F.col("set").alias("head_set"))
+        rest = left.join(first_sets, "grp").filter(F.col("rank") > F.col("head"))
+        both = F.size(F.array_intersect("set", "head_set"))
+        like = both >= similarity * (F.size("set") + F.size("head_set") - both)
+        judged = stage(rest.withColumn("like", like).select("grp", "rank", "uid", "set", "like"), "op6-round")
+        gone = gone.unionByName(judged.filter("like").select("uid"))
+        left = judged.filter(~F.col("like")).drop("like")
+    return own.join(gone, "uid", "left_anti").drop("uid")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

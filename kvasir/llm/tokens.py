@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 from kvasir.llm.common import SparkSession
 
-#: Cached pieces of a worker; beyond it the cache starts anew.
-CACHE = 500_000
+#: Pieces in a worker's cache before its older half goes.
+CACHE = 400_000
 
 #: A space after a character that is no white space: both parts are split alike on their own.
 _CUT = re.compile(r"(?<=\S) ")
 _ODD = re.compile(r"\s ")
-#: Runs that the pre-tokenizers of both files always keep apart, of letters whose class no Unicode version disputes.
-_RUNS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[,.;:!?]+|\n")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARKS = r"!-&(-/:-@\[-`{-~"
+#: Runs that the pre-tokenizer always keeps apart, of characters whose class no Unicode version disputes; no apostrophes.
+_RUNS = {"byte": re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n"), "word": re.compile(rf"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")}
 
 
 def source(spark: SparkSession, path: str):
@@ -26,14 +29,18 @@ def source(spark: SparkSession, path: str):
 
 
 class _Cache(dict):
+    """Values by key, made when first asked for; two generations, so that frequent keys survive a full cache."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
+        if len(self) >= CACHE // 2:
+            self.old = dict(self)
             self.clear()
-        self[key] = out = self.make(key)
+        out = self.old.get(key)
+        self[key] = out = self.make(key) if out is None else out
         return out
 
 
@@ -55,41 +62,54 @@ class WordEncoder:
         self.tok, self.kind = Tokenizer.from_str(spec), kind
         self.model = self.tok.model
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = _Cache(lambda c: level.pre_tokenize_str(chr(c))[0][0])
-        self.runs, self.cache = _Cache(self._run), _Cache(self._piece)
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        # by the piece without the space that leads it, and by the bare piece
+        self.spaced, self.bare = _Cache(lambda p: self._piece(" " + p)), _Cache(self._piece)
 
     def _whole(self, text: str) -> bytes:
-        return self._bytes(self.tok.encode(text, add_special_tokens=False).ids)
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _run(self, run: str) -> bytes:
-        return self._bytes([t.id for t in self.model.tokenize(run.translate(self.letters))])
+        if self.kind == "word":
+            run = run.lower()
+        return array(self.code, [t.id for t in self.model.tokenize(run.translate(self.letters))]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        runs = _RUNS.findall(piece)
-        if "\n\n" in piece or sum(map(len, runs)) != len(piece) or piece.startswith(" \n"):
+        if not piece:
+            return b""
+        runs = _RUNS[self.kind].findall(piece)
+        if sum(map(len, runs)) != len(piece) or "\n\n" in piece or piece.startswith(" \n"):
             return self._whole(piece)
-        if self.kind == "word":
-            return b"".join(self.runs[r.lower()] for r in runs)
-        return b"".join(map(self.runs.__getitem__, runs))
+        if len(runs) == 1:
+            return self._run(piece)
+        return b"".join(self.spaced[r[1:]] if r[0] == " " else self.bare[r] for r in runs)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian ``dtype``; None counts as the empty text."""
-        get, word, out = self.cache.__getitem__, self.kind == "word", []
+        spaced, bare, word, out = self.spaced.__getitem__, self.bare.__getitem__, self.kind == "word", []
         for text in texts:
             if not text:
                 out.append(b"")
             elif any(s in text for s in self.specials):
                 out.append(self._whole(text))
             elif word:
-                out.append(b"".join(map(get, text.replace("\n", " ").split(" "))))
+                out.append(b"".join(map(bare, text.replace("\n", " ").split(" "))))
             else:
                 parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-                # the first part has no space before it; in the others the split took it
-                first = self._piece(parts[0]) if parts[0] else b""
-                out.append(first + b"".join(map(get, [" " + p for p in parts[1:]])))
+                first = self._piece(parts.pop(0))  # no space before it; the split took the others'
+                out.append(first + b"".join(map(spaced, parts)))
         return out
+
+
+_ENCODERS: dict[tuple[int, str], WordEncoder] = {}
+
+
+def encoder(spec: str, kind: str) -> WordEncoder:
+    """This worker's encoder; its caches outlive a task."""
+    key = (hash(spec), kind)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(spec, kind)
+    return _ENCODERS[key]
