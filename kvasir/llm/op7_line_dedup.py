@@ -141,7 +141,7 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """All of ``docs``, with the column ``keep__`` (null: nothing is dropped)."""
     own = docs.withColumn("doc__", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW))).withColumn("tag__", F.xxhash64(F.col("text").cast("string")))
     bits = bitmaps.select(F.col("doc").alias("doc__"), F.col("tag").alias("tag__"), F.col("keep").alias("keep__"))
-    return own.join(bits, ["doc__", "tag__"], "left").drop("doc__", "tag__")
+    return own.join(bits.hint("merge"), ["doc__", "tag__"], "left").drop("doc__", "tag__")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The bytes of the ``wanted`` parts, a row for each: ``anchor, content, n, place, raw, doc, tag, start``."""
     per_doc = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "content", "n", "start", "strings", "place")).alias("parts"))
     # repeated rows are alike: one of them serves
-    texts = _located(docs).join(per_doc, ["doc", "tag"])
+    texts = _located(docs).join(per_doc.hint("merge"), ["doc", "tag"])
 
     def run(batches):
         for batch in batches:
@@ -253,7 +253,7 @@ def _with_spans(docs: DataFrame, width: int, anchor: int) -> DataFrame:
     spans = stage(repeated_spans(docs, width, anchor).groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "strings")).alias("spans__")), "op8-spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.withColumn("doc__", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("tag__", F.xxhash64("doc_id", text))
-    return own.join(spans.select(F.col("doc").alias("doc__"), F.col("tag").alias("tag__"), "spans__"), ["doc__", "tag__"], "left").drop("doc__", "tag__")
+    return own.join(spans.select(F.col("doc").alias("doc__"), F.col("tag").alias("tag__"), "spans__").hint("merge"), ["doc__", "tag__"], "left").drop("doc__", "tag__")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
