@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["op1_token_output", "op2_packing", "op3_quality", "op4_topk", "op5_language", "op6_simhash", "op7_line_dedup", "op8_suffix_dedup"]
+_MODULES = [
+    "op1_token_output", "op2_packing", "op3_quality", "op4_topk", "op5_language",
+    "op6_simhash", "op7_line_dedup", "op8_suffix_dedup", "op9_sentencepiece", "op10_license",
+]
 
 
 def _modules():
