@@ -50,21 +50,23 @@ RULES = {
 BASE = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words"
 
 
+def _bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row: a one-row generator, which no filter or projection is merged into."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with the base statistics, and ``t``, the text with null as empty."""
-    return (
-        docs.withColumn("t", F.coalesce(F.col("text").cast("string"), F.lit("")))
-        .withColumn("w", F.expr(_WORDS)).withColumn("l", F.expr(_LINES))
-        .withColumns({
-            "n_words": F.size("w").cast("long"),
-            "word_chars": F.length(F.array_join("w", "")).cast("long"),
-            "n_symbols": (F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>]", ""))).cast("long"),
-            "n_lines": F.size("l").cast("long"),
-            "n_dup_lines": (F.size("l") - F.size(F.array_distinct("l"))).cast("long"),
-            "n_repeat_words": F.expr(_REPEATED).cast("long"),
-        })
-        .drop("w", "l")
-    )
+    arrays = _bound(docs.withColumn("t", F.coalesce(F.col("text").cast("string"), F.lit(""))), w=F.expr(_WORDS), l=F.expr(_LINES))
+    return _bound(
+        arrays,
+        n_words=F.size("w").cast("long"),
+        word_chars=F.length(F.array_join("w", "")).cast("long"),
+        n_symbols=(F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>]", ""))).cast("long"),
+        n_lines=F.size("l").cast("long"),
+        n_dup_lines=(F.size("l") - F.size(F.array_distinct("l"))).cast("long"),
+        n_repeat_words=F.expr(_REPEATED).cast("long"),
+    ).drop("w", "l")
 
 
 def measured_order(docs: DataFrame, rules: dict[str, str], rows: int = SAMPLE) -> list[str]:
@@ -98,7 +100,7 @@ def judge(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """``docs`` with the statistics, ``base_failed``, ``failed_rule`` and ``kept``."""
     order = measured_order(docs, rules)
     return (
-        statistics(docs).withColumn("base_failed", F.expr(BASE))
+        _bound(statistics(docs), base_failed=F.expr(BASE))
         .withColumn("failed_rule", F.when(~F.col("base_failed"), cascade(rules, order)))
         .withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
     )

@@ -238,7 +238,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, gr
 def cut(raw: bytes, spans: list | None, width: int = WIDTH) -> tuple[bytes, int]:
     """The bytes that no repeated string covers, and the number of runs removed."""
     kept, at, runs = [], 0, 0
-    for s, n in sorted((x["start"], x["strings"]) for x in spans or ()):
+    for s, n in sorted((x["start"], x["strings"]) for x in (() if spans is None else spans)):
         e = s + n + width - 1
         if not runs or s > at:
             kept.append(raw[at:s])
