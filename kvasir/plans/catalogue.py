@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from kvasir.plans import analysis, graphs, language
+
+QUERIES: dict = {**language.QUERIES, **graphs.QUERIES, **analysis.QUERIES}
+SQL: dict[str, str] = {**language.SQL, **graphs.SQL, **analysis.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name")
+    return QUERIES["gql_order_skip_limit"](spark, sf_dir)
