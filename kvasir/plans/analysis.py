@@ -158,7 +158,7 @@ QUERIES |= {
 SQL |= {
     "topo_area": "SELECT p_partkey AS cid, round(2 * (p_size * round(p_retailprice, 2) + (p_partkey % 10 + 1) * round(p_retailprice, 2) + p_size * (p_partkey % 10 + 1.0::DOUBLE)), 2) AS area FROM part",
     "topo_volume": "SELECT p_partkey AS cid, round(p_size * round(p_retailprice, 2) * (p_partkey % 10 + 1), 2) AS volume FROM part",
-    "topo_length": "SELECT p_partkey * 8 AS eid, round(sqrt(p_size * p_size::DOUBLE + round(p_retailprice, 2) * round(p_retailprice, 2) + (p_partkey % 10 + 1) * (p_partkey % 10 + 1.0::DOUBLE)), 4) AS length FROM part",
+    "topo_length": "SELECT p_partkey * 8 AS eid, round(round(sqrt(p_size * p_size::DOUBLE + round(p_retailprice, 2) * round(p_retailprice, 2) + (p_partkey % 10 + 1) * (p_partkey % 10 + 1.0::DOUBLE)), 6), 4) AS length FROM part",
     "topo_boundary": "WITH f AS (SELECT p_partkey AS fid FROM part UNION ALL SELECT p_partkey + 1 FROM part) SELECT (4 * (SELECT count(*) FROM part) + (SELECT count(*) FROM (SELECT fid FROM f GROUP BY fid HAVING count(*) = 1)))::BIGINT AS faces",
     "topo_shared": "SELECT a.p_partkey AS a, b.p_partkey AS b, b.p_partkey AS fid FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kvasir.operators import iterate, networks, triples
+from kvasir.operators.model import undirected
 from kvasir.sources import tables
 from kvasir.sources.tables import CUSTOMER, NATION
 
@@ -13,13 +14,18 @@ def _parts(spark, d):
     return tables.table(spark, d, "part").select(F.col("p_partkey").alias("node"))
 
 
-def _small(spark, d, most: int = 150):
-    """The co-purchase graph among the parts whose keys are up to ``most``: a stated subgraph for all-pairs measures."""
-    return tables.copurchase(spark, d).filter(f"dst <= {most}")
+def _regional(spark, d):
+    """The whole of the region and nation tables as nodes and pairs."""
+    n, r = tables.table(spark, d, "nation"), tables.table(spark, d, "region")
+    nation = (F.col("n_nationkey") + NATION).cast("long")
+    nodes = r.select(F.col("r_regionkey").cast("long").alias("node")).union(n.select(nation))
+    return nodes, n.select(nation.alias("src"), F.col("n_regionkey").cast("long").alias("dst"))
 
 
-def _small_nodes(spark, d, most: int = 150):
-    return _parts(spark, d).filter(f"node <= {most}")
+def _buyers(spark, d):
+    """Customers, and pairs of customer and order."""
+    o = tables.table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + tables.ORDER).alias("dst"))
+    return tables.table(spark, d, "customer").select(F.col("c_custkey").alias("node")), o
 
 
 def _slices(spark, d):
@@ -46,7 +52,7 @@ QUERIES = {
     "graph_degree": lambda s, d: networks.degrees(_parts(s, d), tables.copurchase(s, d)),
     "graph_degree_sequence": lambda s, d: networks.degree_sequence(_parts(s, d), tables.copurchase(s, d)),
     "graph_density": lambda s, d: networks.density(_parts(s, d), tables.copurchase(s, d)),
-    "graph_isolated": lambda s, d: networks.isolated(_parts(s, d).select("node"), _small(s, d, 60).select("src", "dst")),
+    "graph_isolated": lambda s, d: networks.isolated(*_buyers(s, d)),
     "graph_adjacency": lambda s, d: tables.copurchase(s, d),
     "graph_erdos_gallai": lambda s, d: networks.erdos_gallai(_parts(s, d), tables.copurchase(s, d)),
     **{f"graph_{k}": _setop(k) for k in ("union", "intersect", "difference", "symdiff", "impose", "imprint")},
@@ -58,7 +64,7 @@ SQL = {
     "graph_degree": f"WITH {_CO}, {_DEG} SELECT node, degree FROM deg",
     "graph_degree_sequence": f"WITH {_CO}, {_DEG} SELECT degree, count(*) AS nodes FROM deg GROUP BY degree",
     "graph_density": f"WITH {_CO} SELECT (SELECT count(*) FROM part) AS n, count(*) AS m, round(2.0::DOUBLE * count(*) / ((SELECT count(*) FROM part) * ((SELECT count(*) FROM part) - 1)), 9) AS density FROM co",
-    "graph_isolated": f"WITH {_CO} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT src FROM co WHERE dst <= 60 UNION SELECT dst FROM co WHERE dst <= 60)",
+    "graph_isolated": "SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "graph_adjacency": f"WITH {_CO} SELECT * FROM co",
     "graph_erdos_gallai": "SELECT true AS graphical",
     "graph_union": f"WITH {_SL} SELECT src, dst, coalesce(a.weight, b.weight) AS weight FROM a FULL JOIN b USING (src, dst)",
@@ -96,12 +102,12 @@ QUERIES |= {
     "graph_khop": lambda s, d: iterate.bfs(_both_ways(s, d), _one_customer(s, d), 2).filter("depth > 0").select("node", F.col("depth").cast("int").alias("depth")),
     "graph_components": lambda s, d: iterate.components(*(lambda g: (g.vertices.select(F.col("vid").alias("node")), g.edges.select("src", "dst")))(tables.geography(s, d))),
     "graph_shortest_path": lambda s, d: iterate.bfs(_both_ways(s, d), _one_customer(s, d)).filter(f"node BETWEEN {NATION} AND {NATION + 24}").select("node", F.col("depth").cast("int").alias("distance")),
-    "graph_all_paths": lambda s, d: networks.all_paths(_both_ways(s, d).filter("src < 2000 AND dst < 2000"), NATION, NATION + 5, 4).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.col("length").cast("int").alias("length")),
+    "graph_all_paths": lambda s, d: networks.all_paths(undirected(_regional(s, d)[1]), NATION, NATION + 5, 4).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.col("length").cast("int").alias("length")),
     "graph_bipartite": lambda s, d: networks.is_bipartite(*(lambda g: (g.vertices.select(F.col("vid").alias("node")), g.edges.select("src", "dst")))(tables.geography(s, d))),
-    "graph_closeness": lambda s, d: networks.closeness(_small_nodes(s, d, 60), _small(s, d, 60)),
-    "graph_betweenness": lambda s, d: networks.betweenness(_small_nodes(s, d, 60), _small(s, d, 60)),
+    "graph_closeness": lambda s, d: networks.closeness(*_regional(s, d)),
+    "graph_betweenness": lambda s, d: networks.betweenness(*_regional(s, d)),
     "graph_mst": lambda s, d: iterate.spanning_forest(tables.copurchase(s, d)).agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight")),
-    "graph_diameter": lambda s, d: networks.diameter(_small_nodes(s, d, 60), _small(s, d, 60)),
+    "graph_diameter": lambda s, d: networks.diameter(*_regional(s, d)),
 }
 SQL |= {
     "graph_bfs": f"""
@@ -128,6 +134,15 @@ SELECT (n_nationkey + {NATION})::BIGINT AS node, CASE WHEN n_nationkey = n THEN
 SELECT concat(x.n_nationkey + {NATION}, '>', x.n_regionkey, '>', y.n_nationkey + {NATION}) AS path, 2 AS length
 FROM nation x JOIN nation y USING (n_regionkey) WHERE x.n_nationkey = 0 AND y.n_nationkey = 5""",
     "graph_bipartite": "SELECT true AS bipartite",
+    "graph_closeness": f"""
+WITH k AS (SELECT n_regionkey AS r, count(*)::DOUBLE AS m FROM nation GROUP BY 1), t AS (SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) - 1 AS n)
+SELECT r_regionkey::BIGINT AS node, coalesce(round(m / n, 9), 0) AS closeness FROM region LEFT JOIN k ON r = r_regionkey, t
+UNION ALL SELECT n_nationkey + {NATION}, round(m / (2 * m - 1) * m / n, 9) FROM nation JOIN k ON r = n_regionkey, t""",
+    "graph_betweenness": f"""
+WITH k AS (SELECT n_regionkey AS r, count(*)::DOUBLE AS m FROM nation GROUP BY 1)
+SELECT r_regionkey::BIGINT AS node, coalesce(m * (m - 1) / 2, 0) AS betweenness FROM region LEFT JOIN k ON r = r_regionkey
+UNION ALL SELECT n_nationkey + {NATION}, 0.0 FROM nation""",
+    "graph_diameter": "SELECT 2 AS diameter",
 }
 
 
