@@ -56,7 +56,8 @@ def _bound(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base statistics, and ``t``, the text with null as empty."""
+    """``docs`` with the base statistics, and ``t``, the text with null as empty; a column of ``docs`` with one of these names gives way."""
+    docs = docs.drop("t", "w", "l", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
     arrays = _bound(docs.withColumn("t", F.coalesce(F.col("text").cast("string"), F.lit(""))), w=F.expr(_WORDS), l=F.expr(_LINES))
     return _bound(
         arrays,
@@ -98,6 +99,7 @@ def cascade(rules: dict[str, str], order: list[str]) -> Column:
 
 def judge(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """``docs`` with the statistics, ``base_failed``, ``failed_rule`` and ``kept``."""
+    docs = docs.drop("base_failed", "failed_rule", "kept")
     order = measured_order(docs, rules)
     return (
         _bound(statistics(docs), base_failed=F.expr(BASE))

@@ -197,7 +197,8 @@ def keep_one(docs: DataFrame, k: int = 2, d: int = 6, shingle: int = 5, similari
     Repeated rows are copies of one another; texts without a word are, too.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = stage(docs.withColumn("uid", F.monotonically_increasing_id()), "op6-docs")  # the written file fixes the number
+    # the written file fixes the number
+    own = stage(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.monotonically_increasing_id().alias("uid")), "op6-docs")
     prints = stage(fingerprints(own.select(F.col("uid").alias("doc_id"), "text"), k), "op6-fp")
     # documents of a fingerprint's component, if there are two or more
     grouped = cluster(prints, d).select(F.col("doc_id").alias("uid"), F.col("component_id").alias("grp"))
@@ -219,7 +220,7 @@ def keep_one(docs: DataFrame, k: int = 2, d: int = 6, shingle: int = 5, similari
         judged = stage(rest.withColumn("like", like).select("grp", "rank", "uid", "set", "like"), "op6-round")
         gone = gone.unionByName(judged.filter("like").select("uid"))
         left = judged.filter(~F.col("like")).drop("like")
-    return own.join(gone, "uid", "left_anti").drop("uid")
+    return own.join(gone, "uid", "left_anti").select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,10 +138,10 @@ def kept_lines(text: str | None, keep: bytes | None) -> tuple[int, list[str]]:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """All of ``docs``, with the column ``keep__`` (null: nothing is dropped)."""
-    own = docs.withColumn("doc__", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW))).withColumn("tag__", F.xxhash64(F.col("text").cast("string")))
-    bits = bitmaps.select(F.col("doc").alias("doc__"), F.col("tag").alias("tag__"), F.col("keep").alias("keep__"))
-    return own.join(bits.hint("merge"), ["doc__", "tag__"], "left").drop("doc__", "tag__")
+    """``doc_id, text``, ``row`` (the other columns) and ``keep`` (null: nothing is dropped) of all of ``docs``."""
+    own = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
+                      F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("tag"))
+    return own.join(bitmaps.hint("merge"), ["doc", "tag"], "left").drop("doc", "tag")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -152,7 +152,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         return text.combine(keep, lambda t, k: t if t is None or k is None else "\n".join(kept_lines(t, k)[1]))
 
     joined = with_bitmaps(docs, stage(keep_bitmaps(docs), "op7-keep"))
-    return joined.withColumn("text", F.when(F.col("keep__").isNull(), F.col("text")).otherwise(rewritten("text", "keep__"))).select(*docs.columns)
+    text = F.when(F.col("keep").isNull(), F.col("text")).otherwise(rewritten("text", "keep"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +170,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     joined = with_bitmaps(docs, stage(keep_bitmaps(docs), "op7-keep"))
-    return joined.select(F.col("doc_id").cast("long"), "text", "keep__").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return joined.select(F.col("doc_id").cast("long"), "text", "keep").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 QUERIES = {"op7_line_dedup": op7_line_dedup}

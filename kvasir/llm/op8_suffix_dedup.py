@@ -10,7 +10,9 @@ anchor is one part, at most ``2 * WIDTH - ANCHOR`` bytes long.  Equal strings ha
 2. equal parts collapse to one with a count (all strings of a part that occurs twice repeat);
 3. where an anchor has several distinct parts, their texts are fetched, dealt to shards by anchor, and
    each shard's collection gets its Burrows-Wheeler transform and common prefixes column by column
-   (``bwt.build``); neighbours that share ``WIDTH`` symbols are repeated strings.
+   (``bwt.build``); neighbours that share ``WIDTH`` bytes are repeated strings.  Equal strings lie alike
+   towards their anchors, so a symbol there is a word of eight bytes, and the construction runs once
+   for each distance to the anchor modulo eight.
 
 The transform and the prefixes of a shard (a few MB) are arrays that each round reads and rewrites in
 order, the role of the sequential files in external memory; no executor-local file is used.  An anchor
@@ -166,9 +168,10 @@ def _shard_spans(width: int):
     """Each shard: the runs of repeated strings in its parts that occur once."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["anchor", "content"])  # a part that came with two groups is one text
         once = (pdf.n == 1).to_numpy()
         out = []
-        for k, starts in enumerate(bwt.repeated_starts([bytes(x) for x in pdf.raw], width)):
+        for k, starts in enumerate(bwt.repeated_starts([bytes(x) for x in pdf.raw], width, pdf.place.tolist())):
             if once[k] and len(starts):
                 first = np.flatnonzero(np.concatenate([[True], np.diff(starts) != 1]))
                 size = np.diff(np.append(first, len(starts)))
@@ -249,11 +252,12 @@ def cut(raw: bytes, spans: list | None, width: int = WIDTH) -> tuple[bytes, int]
 
 
 def _with_spans(docs: DataFrame, width: int, anchor: int) -> DataFrame:
-    """All of ``docs``, with ``spans__`` (null: nothing repeats)."""
-    spans = stage(repeated_spans(docs, width, anchor).groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "strings")).alias("spans__")), "op8-spans")
+    """``doc_id, text``, ``row`` (the other columns) and ``spans`` (null: nothing repeats) of all of ``docs``."""
+    spans = stage(repeated_spans(docs, width, anchor).groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "strings")).alias("spans")), "op8-spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.withColumn("doc__", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("tag__", F.xxhash64("doc_id", text))
-    return own.join(spans.select(F.col("doc").alias("doc__"), F.col("tag").alias("tag__"), "spans__").hint("merge"), ["doc__", "tag__"], "left").drop("doc__", "tag__")
+    own = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
+                      F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("doc_id", text).alias("tag"))
+    return own.join(spans.hint("merge"), ["doc", "tag"], "left").drop("doc", "tag")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
@@ -264,7 +268,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
         return text.combine(spans, lambda t, s: t if t is None or s is None else cut(t.encode(), s, width)[0].decode(errors="ignore"))
 
     joined = _with_spans(docs, width, anchor)
-    return joined.withColumn("text", F.when(F.col("spans__").isNull(), F.col("text")).otherwise(rewritten("text", "spans__"))).select(*docs.columns)
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(rewritten("text", "spans"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +286,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 kinds = [pa.int64()] * 4 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs, WIDTH, ANCHOR).select("doc_id", "text", "spans__").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, WIDTH, ANCHOR).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 QUERIES = {"op8_suffix_dedup": op8_suffix_dedup}
