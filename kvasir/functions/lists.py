@@ -50,3 +50,53 @@ def closest_index(values: Column, target: Column) -> Column:
     """Position from 0 of the value nearest to the target, the first on ties."""
     ranked = F.transform(values, lambda x, i: F.struct(F.abs(x - target).alias("d"), i.alias("i")))
     return F.array_min(ranked)["i"]
+
+
+def maximum_indices(values: Column) -> Column:
+    return F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda i: F.get(values, i) == F.array_max(values))
+
+
+def minimum_indices(values: Column) -> Column:
+    return F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda i: F.get(values, i) == F.array_min(values))
+
+
+def position(values: Column, item: Column) -> Column:
+    """Place from 0 in the sorted array, or where the item would go."""
+    return F.size(F.filter(values, lambda x: x < item))
+
+
+def remove_even(values: Column) -> Column:
+    """Without the members at even places from 0."""
+    return F.filter(values, lambda x, i: i % 2 == 1)
+
+
+def remove_odd(values: Column) -> Column:
+    return F.filter(values, lambda x, i: i % 2 == 0)
+
+
+def iterate_to(values: Column, size: Column) -> Column:
+    """Cycles through the array up to a size."""
+    return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get(values, i % F.size(values)))
+
+
+def pad_last(values: Column, size: Column) -> Column:
+    """Repeats the last member up to a size."""
+    return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get(values, F.least(i, F.size(values) - 1)))
+
+
+def trim_all(nested: Column) -> Column:
+    """All sublists at the shortest one's size."""
+    return F.transform(nested, lambda x: F.slice(x, 1, F.array_min(F.transform(nested, F.size))))
+
+
+def transpose(nested: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.array_min(F.transform(nested, F.size)) - 1), lambda j: F.transform(nested, lambda r: F.get(r, j)))
+
+
+def grow(pairs: DataFrame, seed: int, size: int) -> DataFrame:
+    """``node, step``: a connected group of up to ``size`` nodes from a seed, breadth first, smaller nodes first."""
+    from kvasir.operators import iterate
+    from kvasir.operators.model import undirected
+
+    reached = iterate.bfs(undirected(pairs), pairs.sparkSession.range(1).select(F.lit(seed).cast("long").alias("node")))
+    return reached.select("node", F.col("depth").alias("step")).orderBy("step", "node").limit(size)

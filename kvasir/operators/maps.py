@@ -76,3 +76,16 @@ def cluster_key(m: Column, keys: list[str]) -> Column:
 def canonical(m: Column) -> Column:
     """A scalar form: sorted ``key=value`` entries."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), ";")
+
+
+def keys_at_value(m: Column, value: str) -> Column:
+    return F.map_keys(F.map_filter(m, lambda k, v: v == value))
+
+
+def values_at(m: Column, keys: list[str], default=None) -> Column:
+    return F.array(*[get(m, k, default) for k in keys])
+
+
+def set_values(m: Column, keys: list[str], values: list[Column]) -> Column:
+    """Creates or replaces several entries."""
+    return impose(m, F.create_map(*[x for k, v in zip(keys, values) for x in (F.lit(k), v.cast("string"))]))

@@ -126,3 +126,91 @@ def betweenness(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         total = total.unionByName(below.filter("node != source").select("node", "delta"))
     sums = total.groupBy("node").agg((F.sum("delta") / 2).alias("b"))
     return nodes.join(sums, "node", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)), 6).alias("betweenness"))
+
+
+def degree_centrality(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``node, centrality``: degree / (n - 1)."""
+    n = max(1, nodes.count() - 1)
+    return degrees(nodes, pairs).select("node", F.round(F.col("degree") / F.lit(n), 9).alias("centrality"))
+
+
+def delta(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The least and the greatest degree."""
+    return degrees(nodes, pairs).agg(F.min("degree").alias("minimum"), F.max("degree").alias("maximum"))
+
+
+def is_complete(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    return density(nodes, pairs).select((F.col("m") * 2 == F.col("n") * (F.col("n") - 1)).alias("complete"))
+
+
+def adjacency_list(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``node, neighbours`` (sorted, empty for isolated nodes)."""
+    near = undirected(pairs).groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
+    return nodes.join(near, "node", "left").select("node", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
+
+
+def incident_edges(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Edges at any of ``vertices(node)``."""
+    return pairs.join(vertices.select(F.col("node").alias("src")), "src", "left_semi").unionByName(pairs.join(vertices.select(F.col("node").alias("dst")), "dst", "left_semi").select(*pairs.columns)).distinct()
+
+
+def remove_vertices(nodes: DataFrame, pairs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Without some vertices and their edges."""
+    out = pairs
+    for end in ("src", "dst"):
+        out = out.join(gone.select(F.col("node").alias(end)), end, "left_anti")
+    return nodes.join(gone, "node", "left_anti"), out.select(*pairs.columns)
+
+
+def spanning_tree(pairs: DataFrame, root: int) -> DataFrame:
+    """``node, parent, depth`` of a breadth-first tree; the parent is the smallest neighbour one level up."""
+    arcs = undirected(pairs)
+    level = iterate.bfs(arcs, pairs.sparkSession.range(1).select(F.lit(root).cast("long").alias("node"))).select("node", "depth")
+    up = level.select(F.col("node").alias("dst"), (F.col("depth") + 1).alias("depth"))
+    parents = level.join(arcs, level.node == arcs.src).join(up, ["dst", "depth"]).groupBy("node").agg(F.min("dst").alias("parent"))
+    return level.join(parents, "node", "left").select("node", "parent", F.col("depth").cast("int").alias("depth"))
+
+
+def bridges(pairs: DataFrame) -> DataFrame:
+    """``src, dst`` of edges on no cycle: tree edges that no other edge's tree paths cross.
+
+    Each non-tree edge walks its two ends up to their meeting, a level a round, and covers what it
+    passes; walkers at one place with one goal level merge, since only what is covered matters.
+    """
+    e = iterate.keep(pairs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a != b").distinct())
+    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
+    roots = iterate.components(nodes, e.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("component").alias("node")).distinct()
+    arcs = undirected(e.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    level = iterate.bfs(arcs, roots).select("node", "depth")
+    up = level.select(F.col("node").alias("dst"), (F.col("depth") + 1).alias("depth"))
+    tree = iterate.keep(level.join(arcs, level.node == arcs.src).join(up, ["dst", "depth"]).groupBy("node", "depth").agg(F.min("dst").alias("parent")))
+    on_tree = tree.select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"), F.col("node").alias("child"))
+    depth = iterate.keep(level)
+    walk = e.join(on_tree, ["a", "b"], "left_anti").select("a", "b")
+    covered = None
+    while True:
+        da, db = depth.select(F.col("node").alias("a"), F.col("depth").alias("da")), depth.select(F.col("node").alias("b"), F.col("depth").alias("db"))
+        walk = iterate.keep(walk.join(da, "a").join(db, "b").filter("a != b"))
+        if walk.isEmpty():
+            break
+        moved = walk.join(tree.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a", "left").join(tree.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b", "left")
+        passed = moved.filter("da >= db").select(F.col("a").alias("child")).union(moved.filter("db >= da").select("b"))
+        covered = iterate.keep((passed if covered is None else covered.union(passed)).distinct())
+        walk = moved.select(F.when(F.col("da") >= F.col("db"), F.col("pa")).otherwise(F.col("a")).alias("a"), F.when(F.col("db") >= F.col("da"), F.col("pb")).otherwise(F.col("b")).alias("b")).distinct()
+    out = on_tree if covered is None else on_tree.join(covered, "child", "left_anti")
+    return out.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def communities(nodes: DataFrame, pairs: DataFrame, rounds: int = 10) -> DataFrame:
+    """``node, community`` by label propagation: each round the commonest label around and at a node, the smallest on ties."""
+    arcs = undirected(pairs)
+    label = iterate.keep(nodes.select("node", F.col("node").alias("community")))
+    for _ in range(rounds):
+        votes = arcs.join(label, arcs.dst == label.node).select(F.col("src").alias("node"), "community").unionByName(label)
+        n = votes.groupBy("node", "community").agg(F.count(F.lit(1)).alias("n"))
+        new = iterate.keep(n.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community")))
+        same = new.join(label, ["node", "community"], "left_anti").isEmpty()
+        label = new
+        if same:
+            break
+    return label
