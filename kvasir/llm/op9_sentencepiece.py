@@ -37,6 +37,7 @@ CHUNKS = 300_000
 PAIRS = 1_000_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _MERGES = 2
+_NO = float("-inf")
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -66,6 +67,20 @@ def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
         yield tag >> 3, value
 
 
+class _Cache(dict):
+    """Values by key, made when first asked for; a full cache starts anew."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= CHUNKS:
+            self.clear()
+        self[key] = out = self.make(key)
+        return out
+
+
 class Transducer:
     def __init__(self, model: bytes):
         self.pieces: list[str] = []
@@ -114,7 +129,13 @@ class Transducer:
             node[""] = k
         self.splits_lines = not any("\n" in p for p in self.ids)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.parts = _Cache(lambda part: array("I", self.shortest(part)).tobytes())
+        # ids of a chunk, and of the chunk that begins with a U+2581 and goes on like the key
+        self.bare, self.spaced = _Cache(self._solved), _Cache(lambda chunk: self._solved(SPACE + chunk))
+        # a byte below 128 is a character whatever stands beside it; None: the piece needs its neighbours or is none
+        self.spelled: list[str | None] = [chr(int(p[3:5], 16)) if k == _BYTE and int(p[3:5], 16) < 128 else p if k == _NORMAL else None for p, k in zip(self.pieces, self.kinds)]
+        self.plain = np.array([t is not None for t in self.spelled])
 
     def _unmoved(self, a: int, b: int) -> bool:
         """Whether merging the two pieces' characters leaves just these two."""
@@ -127,31 +148,22 @@ class Transducer:
         return known
 
     def _merged(self, text: str) -> list[str]:
-        parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """Merges the neighbours that make the piece of the best score, the first on ties, until none make one."""
+        parts, score = list(text), self.scores.get
+        worth = [score(x + y, _NO) for x, y in zip(parts, parts[1:])]
+        while worth and (best := max(worth)) > _NO:
+            i = worth.index(best)
+            parts[i] += parts.pop(i + 1)
+            del worth[i]
+            if i:
+                worth[i - 1] = score(parts[i - 1] + parts[i], _NO)
+            if i < len(worth):
+                worth[i] = score(parts[i] + parts[i + 1], _NO)
         return parts
 
-    def _arcs(self, text: str, at: int) -> Iterator[tuple[int, int]]:
-        """Ends and ids of the pieces that start at a place."""
-        node = self.trie
-        for k in range(at, len(text)):
-            node = node.get(text[k])
-            if node is None:
-                return
-            if "" in node:
-                yield k + 1, node[""]
-
     def shortest(self, text: str) -> list[int]:
         """The ids on the one path of finite weight through a normalised chunk."""
-        n = len(text)
+        n, trie, unmoved = len(text), self.trie, self._unmoved
         last: list[int | None] = [None] * (n + 1)  # the piece that ends at a place, -1 for bytes
         back = [0] * (n + 1)
         last[0] = -1
@@ -159,10 +171,17 @@ class Transducer:
             before = last[at]
             if before is None:
                 continue
-            found = False
-            for end, k in self._arcs(text, at):
-                found = found or end == at + 1
-                if last[end] is None and (before < 0 or self._unmoved(before, k)):
+            node, found = trie, False
+            for end in range(at + 1, n + 1):
+                node = node.get(text[end - 1])
+                if node is None:
+                    break
+                k = node.get("")
+                if k is None:
+                    continue
+                if end == at + 1:
+                    found = True
+                if last[end] is None and (before < 0 or unmoved(before, k)):
                     last[end], back[end] = k, at
             if not found and last[at + 1] is None:
                 last[at + 1], back[at + 1] = -1, at
@@ -180,34 +199,39 @@ class Transducer:
             at = back[at]
         return out[::-1]
 
-    def _chunk(self, chunk: str) -> bytes:
-        got = self.chunks.get(chunk)
-        if got is None:
-            if len(self.chunks) >= CHUNKS:
-                self.chunks.clear()
-            got = self.chunks[chunk] = array("I", self.shortest(chunk)).tobytes()
-        return got
+    def _solved(self, chunk: str) -> bytes:
+        """Solved part by part: no piece spans two characters that stand together in no piece."""
+        parts, start, joined = [], 0, self.joined
+        for k in range(1, len(chunk)):
+            if chunk[k - 1 : k + 1] not in joined:
+                parts.append(chunk[start:k])
+                start = k
+        parts.append(chunk[start:])
+        return b"".join(map(self.parts.__getitem__, parts))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text, as u32."""
         if not text:
             return np.zeros(0, "<u4")
-        normal = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        lines = normal.split("\n") if self.splits_lines else [normal]
-        stop, out = self._chunk("\n") if len(lines) > 1 else b"", []
-        for k, line in enumerate(lines):
+        bare, spaced, out = self.bare.__getitem__, self.spaced.__getitem__, []
+        for k, line in enumerate(text.split("\n") if self.splits_lines else [text]):
+            lead = not k and self.prefix
             if k:
-                out.append(stop)
-            if SPACE + SPACE in line or line.endswith(SPACE):
-                words = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", line)
-            else:
-                parts = line.split(SPACE)
-                words = [parts[0], *[SPACE + p for p in parts[1:]]] if parts[0] else [SPACE + p for p in parts[1:]]
-            out.extend(map(self._chunk, words))
+                out.append(bare("\n"))
+            if "  " in line or line.endswith(" ") or SPACE in line or (lead and line.startswith(" ")):
+                normal = (SPACE if lead else "") + line.replace(" ", SPACE)
+                out.extend(map(bare, re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", normal)))
+                continue
+            words = line.split(" ")
+            if not lead and (first := words.pop(0)):
+                out.append(bare(first))
+            out.extend(map(spaced, words))
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: the inverse transducer's output.  A byte that begins no character becomes U+FFFD."""
+        if self.plain[ids].all():
+            return self._unescaped("".join(map(self.spelled.__getitem__, ids.tolist())))
         out, held = [], bytearray()
 
         def spell():
@@ -236,7 +260,9 @@ class Transducer:
             elif kind != _CONTROL:
                 out.append(self.pieces[k])
         spell()
-        text = "".join(out)
+        return self._unescaped("".join(out))
+
+    def _unescaped(self, text: str) -> str:
         if self.prefix and text.startswith(SPACE):
             text = text[1:]
         return text.replace(SPACE, " ")
