@@ -190,36 +190,43 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 2, d: int = 6, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, its smallest doc_id.
 
-    Fingerprints of ``k``-word shingles within ``d`` bits propose groups.  A document goes only if its
-    distinct ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more with those of a
-    document that stays: each round the first document left of each group stays and takes with it
-    those similar to it, until each group is settled.  Each round compares a document with one other.
-    Repeated rows are copies of one another; texts without a word are, too.
+    Equal texts are one group.  Among the others, fingerprints of ``k``-word shingles within ``d`` bits
+    propose pairs, and a pair links if the Jaccard similarity of its distinct ``shingle``-word shingles
+    is ``similarity`` or more; a group is what links connect.  A large bucket proposes a spanning forest,
+    so what is left is proposed again until no pair links.  Repeated rows are copies of one another;
+    texts without a word are, too.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # the written file fixes the number
     own = stage(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.monotonically_increasing_id().alias("uid")), "op6-docs")
-    prints = stage(fingerprints(own.select(F.col("uid").alias("doc_id"), "text"), k), "op6-fp")
-    # documents of a fingerprint's component, if there are two or more
-    grouped = cluster(prints, d).select(F.col("doc_id").alias("uid"), F.col("component_id").alias("grp"))
-    sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stage(grouped.join(sizes, "grp").select("uid", "grp"), "op6-members")
-    texts = own.select("uid", F.col("doc_id").cast("long").alias("id"), text.alias("text")).join(members, "uid")
-    # exact copies first: of equal texts the smallest doc_id stays a candidate
-    first = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), F.col("uid"))
-    texts = stage(texts.select("uid", "grp", "text", F.xxhash64("text").alias("h"), first.alias("rank")), "op6-texts")
-    one = texts.groupBy("grp", "h", F.length("text").alias("size")).agg(F.min("rank").alias("rank"))
-    left = stage(one.select("grp", "rank", F.col("rank.uid").alias("uid")).join(_shingle_sets(texts, shingle), "uid"), "op6-left")
-    gone = texts.select("uid").join(one.select(F.col("rank.uid").alias("uid")), "uid", "left_anti")
-    while not left.isEmpty():
-        heads = left.groupBy("grp").agg(F.min("rank").alias("head"))
-        first_sets = left.join(heads, "grp").filter(F.col("rank") == F.col("head")).select("grp", "head", F.col("set").alias("head_set"))
-        rest = left.join(first_sets, "grp").filter(F.col("rank") > F.col("head"))
-        both = F.size(F.array_intersect("set", "head_set"))
-        like = both >= similarity * (F.size("set") + F.size("head_set") - both)
-        judged = stage(rest.withColumn("like", like).select("grp", "rank", "uid", "set", "like"), "op6-round")
-        gone = gone.unionByName(judged.filter("like").select("uid"))
-        left = judged.filter(~F.col("like")).drop("like")
+    texts = own.select("uid", text.alias("text"))
+    prints = fingerprints(texts.select(F.col("uid").alias("doc_id"), "text"), k).withColumnRenamed("doc_id", "uid")
+    rank = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col("uid")).alias("rank")
+    narrow = own.select("uid", rank, F.when(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) == "", F.lit("")).otherwise(text).alias("t"))
+    narrow = stage(narrow.select("uid", "rank", F.xxhash64("t").alias("h"), F.length("t").alias("size")).join(prints, "uid"), "op6-narrow")
+    alive = stage(narrow.groupBy("fp", "h", "size").agg(F.min("rank").alias("rank")).select("fp", "rank", F.col("rank.uid").alias("uid")), "op6-alive")
+    gone = narrow.select("uid").join(alive.select("uid"), "uid", "left_anti")
+    while True:
+        words = stage(alive.groupBy("fp").agg(F.min("rank").alias("first")).select("fp", F.col("first.uid").alias("first")), "op6-words")
+        near = links(words.select("fp"), words.count(), d).distinct()
+        for end in ("a", "b"):
+            near = near.join(words.select(F.col("fp").alias(end), F.col("first").alias(f"u{end}")), end)
+        pairs = near.select(F.col("ua").alias("a"), F.col("ub").alias("b"))
+        same = alive.join(words, "fp").filter("uid != first").select(F.col("first").alias("a"), F.col("uid").alias("b"))
+        pairs = stage(pairs.unionByName(same), "op6-pairs")
+        ends = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+        sets = stage(_shingle_sets(texts.join(ends, "uid"), shingle), "op6-sets")
+        x, y = sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), sets.select(F.col("uid").alias("b"), F.col("set").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        linked = stage(pairs.join(x, "a").join(y, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "op6-linked")
+        if linked.isEmpty():
+            break
+        roots = components(linked)
+        groups = alive.join(roots, alive.uid == roots.node, "left").select("fp", "rank", "uid", F.coalesce("root", "uid").alias("root"))
+        first = groups.groupBy("root").agg(F.min("rank").alias("first"))
+        judged = stage(groups.join(first, "root"), "op6-judged")
+        gone = gone.unionByName(judged.filter("rank != first").select("uid"))
+        alive = judged.filter("rank = first").select("fp", "rank", "uid")
     return own.join(gone, "uid", "left_anti").select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
