@@ -12,9 +12,9 @@ from kvasir.sources import tables
 from kvasir.sources.tables import NATION
 
 _p = lambda s, d: tables.table(s, d, "part")
-_sizes = F.array(F.col("p_size").cast("double"), F.lit(20.0), F.lit(5.0), F.lit(20.0))
-_rgb = F.array(F.col("p_size") * 5, F.lit(16), F.col("p_partkey") % 256)
-_LAT, _LON = F.lit(51.5), F.lit(-3.2)
+_sizes = lambda: F.array(F.col("p_size").cast("double"), F.lit(20.0), F.lit(5.0), F.lit(20.0))
+_rgb = lambda: F.array(F.col("p_size") * 5, F.lit(16), F.col("p_partkey") % 256)
+_LAT, _LON = 51.5, -3.2
 
 
 def _asia(spark, d):
@@ -28,13 +28,13 @@ QUERIES = {
     "vec_average_sum": lambda s, d: _vec(s, d).agg(vectors.average(F.col("u")).alias("a"), vectors.total(F.col("u")).alias("t")).select(F.round(F.element_at("a", 1), 6).alias("ax"), F.round(F.element_at("t", 3), 4).alias("tz")),
     "vec_bisect_spread": lambda s, d: _vec(s, d).select("pid", F.round(vectors.spread(F.col("u"), F.col("v")), 5).alias("spread"), F.round(vectors.magnitude(vectors.bisect(F.col("u"), F.col("v"))), 5).alias("unit"), vectors.is_antiparallel(F.col("u"), vectors.reverse(F.col("u"))).alias("opposite")),
     "mat_rotation": lambda s, d: (lambda t: t.select("pid", *[F.round(F.element_at("t", i + 1), 6).alias(c) for i, c in enumerate("xyz")]))(_vec(s, d).select("pid", vectors.transform_point(vectors.matrix_multiply(vectors.rotation("z", F.lit(90.0)), vectors.scaling(F.lit(2.0), F.lit(3.0), F.lit(1.0))), F.col("u")).alias("t"))),
-    "list_indices": lambda s, d: _p(s, d).select("p_partkey", F.array_join(lists.maximum_indices(_sizes).cast("array<string>"), ",").alias("most"), F.array_join(lists.minimum_indices(_sizes).cast("array<string>"), ",").alias("least"), lists.position(_sizes, F.lit(21.0)).cast("int").alias("place")),
+    "list_indices": lambda s, d: _p(s, d).select("p_partkey", F.array_join(lists.maximum_indices(_sizes()).cast("array<string>"), ",").alias("most"), F.array_join(lists.minimum_indices(_sizes()).cast("array<string>"), ",").alias("least"), lists.position(_sizes(), F.lit(21.0)).cast("int").alias("place")),
     "list_every_other": lambda s, d: _p(s, d).select("p_partkey", F.array_join(lists.remove_even(F.split("p_name", "")), "").alias("odd"), F.array_join(lists.remove_odd(F.split("p_name", "")), "").alias("even")),
     "list_nested": lambda s, d: _p(s, d).select("p_partkey", F.array_join(F.flatten(lists.transpose(lists.trim_all(F.array(F.split("p_type", " "), F.split("p_name", " "))))), "|").alias("v")),
-    "color_mix": lambda s, d: _p(s, d).select("p_partkey", colors.rgb_to_hex(_rgb).alias("hex"), colors.add_hex(colors.rgb_to_hex(_rgb), F.lit("#808080")).alias("lighter")),
+    "color_mix": lambda s, d: _p(s, d).select("p_partkey", colors.rgb_to_hex(_rgb()).alias("hex"), colors.add_hex(colors.rgb_to_hex(_rgb()), F.lit("#808080")).alias("lighter")),
     "color_average": lambda s, d: _p(s, d).groupBy("p_brand").agg(colors.average_hex(colors.rgb_to_hex(F.array(F.col("p_size"), F.lit(16), F.lit(255)))).alias("hex")),
-    "sun_altitude": lambda s, d: tables.table(s, d, "events").select("event_id", F.round(sun.altitude(_LAT, _LON, F.col("ts")), 3).alias("altitude")),
-    "sun_day_length": lambda s, d: tables.table(s, d, "events").select("event_id", F.round(sun.day_length(_LAT, F.col("ts")), 2).alias("hours")),
+    "sun_altitude": lambda s, d: tables.table(s, d, "events").select("event_id", F.round(sun.altitude(F.lit(_LAT), F.lit(_LON), F.col("ts")), 3).alias("altitude")),
+    "sun_day_length": lambda s, d: tables.table(s, d, "events").select("event_id", F.round(sun.day_length(F.lit(_LAT), F.col("ts")), 2).alias("hours")),
     "map_set_values": lambda s, d: _event_maps(s, d).select("user_id", maps.canonical(maps.set_values(F.col("a"), ["day", "new"], [F.lit("x"), F.col("user_id")])).alias("m")),
     "map_keys_at_value": lambda s, d: _event_maps(s, d).select("user_id", F.array_join(maps.keys_at_value(F.col("a"), "click"), ",").alias("k"), F.array_join(maps.values_at(F.col("a"), ["event_type", "none"], "-"), ",").alias("v")),
     "graph_degree_centrality": lambda s, d: networks.degree_centrality(_parts(s, d), tables.copurchase(s, d)),
