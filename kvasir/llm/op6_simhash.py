@@ -15,6 +15,8 @@ Defined results: a null or empty text has no word and the fingerprint zero, link
 text of fewer words than a shingle is one shingle; repeated rows keep a row each; a null doc_id takes no
 part in a component's smallest doc_id (null only if all its ids are); an empty table gives no rows;
 other columns are ignored.
+
+``keep_one``, the pipeline's stage, uses no fingerprints: its pairs are exact by prefixes of shingle sets.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ SHINGLE = 3
 DISTANCE = 2
 BUCKET = 24
 TILE = 8192
+#: Texts, and characters of each, that tell which shingles are common; only the cost depends on them.
+SAMPLE_ROWS = 10_000
+SAMPLE_CHARS = 20_000
+COMMON = 200_000
 
 
 def _shingle_hashes(text: str | None, k: int) -> list[int]:
@@ -187,47 +193,93 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("uid", "text").mapInArrow(run, "uid long, set array<long>")
 
 
-def keep_one(docs: DataFrame, k: int = 2, d: int = 6, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``COMMON`` hashes, ascending, of shingles that three or more sampled texts hold, and their counts."""
+    share = SAMPLE_ROWS / max(texts.count(), 1)
+    some = texts if share >= 1 else texts.sample(share, 7)
+    held = _shingle_sets(some.select("uid", F.substring("text", 1, SAMPLE_CHARS).alias("text")), k).select(F.explode("set").alias("token"))
+    rows = held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n")).limit(COMMON).toArrow()
+    tokens, counts = (rows[c].to_numpy() for c in ("token", "n"))
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
+def _prefixes(docs: DataFrame, k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``uid, id, h, n, prefix`` of ``uid, id, text``: hash and size of the text's shingle set, and its first shingles.
+
+    Sets of similarity s share at least ``ceil(s * n)`` shingles of either, so their first
+    ``n - ceil(s * n) + 1`` in any one order have one in common.  The order is common shingles last.
+    """
+    tokens, counts = common
+
+    def run(batches):
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                hashes, sizes, firsts = [], [], []
+                for text in part.column(2).to_pylist():
+                    own = np.unique(np.array(_shingle_hashes(text, k), np.uint64)).view(np.int64)
+                    n = len(own)
+                    upto = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+                    weight = np.zeros(n, np.int64)
+                    if len(tokens):
+                        place = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+                        weight = np.where(tokens[place] == own, counts[place], 0)
+                    hashes.append(_signed(xxh64_intdigest(own.tobytes(), 42)))
+                    sizes.append(n)
+                    firsts.append(own[np.lexsort((own, weight))[:upto]])
+                columns = [part.column(0), part.column(1), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "id", "h", "n", "prefix"])
+
+    return docs.select("uid", "id", "text").mapInArrow(run, "uid long, id long, h long, n int, prefix array<long>")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The staged ``(a, b)`` whose shingle sets are similar."""
+    ends = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+    sets = stage(_shingle_sets(texts.join(ends, "uid", "left_semi"), k), "op6-sets")
+    x, y = sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), sets.select(F.col("uid").alias("b"), F.col("set").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return stage(pairs.join(x, "a").join(y, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "op6-linked")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, its smallest doc_id.
 
-    Equal texts are one group.  Among the others, fingerprints of ``k``-word shingles within ``d`` bits
-    propose pairs, and a pair links if the Jaccard similarity of its distinct ``shingle``-word shingles
-    is ``similarity`` or more; a group is what links connect.  A large bucket proposes a spanning forest,
-    so what is left is proposed again until no pair links.  Repeated rows are copies of one another;
-    texts without a word are, too.
+    A pair links if the Jaccard similarity of its distinct ``shingle``-word shingles is ``similarity`` or
+    more; a group is what links connect.  Every such pair shares a shingle of both prefixes, so the groups
+    are exact.  Each member of a shingle is first compared with the shingle's first member; then all pairs
+    that share one and are not connected yet.  Texts of equal sets are copies, so are texts without a word.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # the written file fixes the number
     own = stage(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.monotonically_increasing_id().alias("uid")), "op6-docs")
-    texts = own.select("uid", text.alias("text"))
-    prints = fingerprints(texts.select(F.col("uid").alias("doc_id"), "text"), k).withColumnRenamed("doc_id", "uid")
-    rank = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col("uid")).alias("rank")
-    narrow = own.select("uid", rank, F.when(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) == "", F.lit("")).otherwise(text).alias("t"))
-    narrow = stage(narrow.select("uid", "rank", F.xxhash64("t").alias("h"), F.length("t").alias("size")).join(prints, "uid"), "op6-narrow")
-    alive = stage(narrow.groupBy("fp", "h", "size").agg(F.min("rank").alias("rank")).select("fp", "rank", F.col("rank.uid").alias("uid")), "op6-alive")
-    gone = narrow.select("uid").join(alive.select("uid"), "uid", "left_anti")
-    while True:
-        words = stage(alive.groupBy("fp").agg(F.min("rank").alias("first")).select("fp", F.col("first.uid").alias("first")), "op6-words")
-        near = links(words.select("fp"), words.count(), d).distinct()
-        for end in ("a", "b"):
-            near = near.join(words.select(F.col("fp").alias(end), F.col("first").alias(f"u{end}")), end)
-        pairs = near.select(F.col("ua").alias("a"), F.col("ub").alias("b"))
-        same = alive.join(words, "fp").filter("uid != first").select(F.col("first").alias("a"), F.col("uid").alias("b"))
-        pairs = stage(pairs.unionByName(same), "op6-pairs")
-        ends = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-        sets = stage(_shingle_sets(texts.join(ends, "uid"), shingle), "op6-sets")
-        x, y = sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), sets.select(F.col("uid").alias("b"), F.col("set").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        linked = stage(pairs.join(x, "a").join(y, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "op6-linked")
-        if linked.isEmpty():
-            break
-        roots = components(linked)
-        groups = alive.join(roots, alive.uid == roots.node, "left").select("fp", "rank", "uid", F.coalesce("root", "uid").alias("root"))
-        first = groups.groupBy("root").agg(F.min("rank").alias("first"))
-        judged = stage(groups.join(first, "root"), "op6-judged")
-        gone = gone.unionByName(judged.filter("rank != first").select("uid"))
-        alive = judged.filter("rank = first").select("fp", "rank", "uid")
-    return own.join(gone, "uid", "left_anti").select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    numbered = own.select("uid", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), text.alias("text"))
+    texts = numbered.select("uid", "text")
+    prefixes = stage(_prefixes(numbered, shingle, similarity, _common(texts, shingle)), "op6-prefixes")
+    alive = stage(prefixes.groupBy("h", "n").agg(F.min(F.struct("id", "uid")).alias("rank")).select("rank", F.col("rank.uid").alias("uid")), "op6-alive")
+    postings = prefixes.select("uid", "n", F.explode("prefix").alias("token")).join(alive.select("uid"), "uid", "left_semi")
+    sizes = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("uid", "n")).alias("head")).filter("c > 1")
+    keyed = stage(postings.join(sizes, "token"), "op6-keys")
+
+    def alike(m, n):
+        return F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
+
+    stars = stage(keyed.filter(F.col("uid") != F.col("head.uid")).filter(alike("n", "head.n")).select(F.col("head.uid").alias("a"), F.col("uid").alias("b")).distinct(), "op6-stars")
+    linked = _similar(stars, texts, shingle, similarity)
+    roots = components(linked)
+    named = keyed.join(roots, keyed.uid == roots.node, "left").select("token", "uid", "n", "c", F.col("head.uid").alias("head"), F.coalesce("root", "uid").alias("root"))
+    mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
+    rest = stage(named.join(mixed, "token", "left_semi"), "op6-rest")
+    x, y = (rest.select("token", F.col("uid").alias(u), F.col("n").alias(f"n{u}"), F.col("root").alias(f"r{u}")) for u in "ab")
+    pairs = x.join(y, "token").filter("a < b AND ra != rb").filter(alike("na", "nb")).select("a", "b").distinct()
+    linked = linked.unionByName(_similar(stage(pairs.join(stars, ["a", "b"], "left_anti"), "op6-pairs"), texts, shingle, similarity))
+    roots = components(linked)
+    groups = alive.join(roots, alive.uid == roots.node, "left").select("rank", F.coalesce("root", "uid").alias("root"))
+    kept = groups.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.uid").alias("uid"))
+    return own.join(kept, "uid", "left_semi").select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

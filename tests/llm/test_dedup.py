@@ -104,6 +104,42 @@ def test_one_of_each_group_stays(spark, odd):
             assert any(similar(t, u) for _, u in left)
 
 
+def left_by_brute_force(rows, k=5):
+    """The smallest id of each group that pairs of Jaccard similarity 0.8 or more connect."""
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {rows[find(i)][0] for i in range(len(rows))}
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"new{rng.getrandbits(32)}"
+    return " ".join(out)
+
+
+def test_pairs_of_all_similarities(spark):
+    """Copies from 0.75 upward, which fingerprints often tell apart by more than six bits."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, edited(rng, words, max(1, round(len(words) * rng.uniform(0.005, 0.03)))))]
+    got = op6_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id for r in got} == left_by_brute_force(rows) and len(got) == len({r.doc_id for r in got})
+
+
 def line_key(line):
     return line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
 
