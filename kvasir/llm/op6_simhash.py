@@ -37,7 +37,8 @@ SHINGLE = 3
 DISTANCE = 2
 BUCKET = 24
 TILE = 8192
-#: Texts, and characters of each, that tell which shingles are common; only the cost depends on them.
+#: ``keep_one``: shingles of a tile; texts, and characters of each, that tell the common ones. The cost depends on them, not the result.
+TILE_SHINGLES = 400_000
 SAMPLE_ROWS = 10_000
 SAMPLE_CHARS = 20_000
 COMMON = 200_000
@@ -245,13 +246,58 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
     return stage(pairs.join(x, "a").join(y, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "op6-linked")
 
 
+def connect(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Similar pairs, one fewer than roots in each component, that connect what all similar pairs connect."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(ids, kind="stable")
+    holders = owner[order]
+    starts = np.searchsorted(ids[order], np.arange(ids.max() + 2))
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    group, out = np.unique(roots, return_inverse=True)[1], []
+    for i in range(len(sets)):
+        if group.min() == group.max():
+            break
+        own = ids[at[i] : at[i + 1]]
+        both = np.bincount(np.concatenate([holders[starts[t] : starts[t + 1]] for t in own]), minlength=len(sets))
+        for j in np.flatnonzero((both >= similarity * (sizes[i] + sizes - both)) & (group != group[i])):
+            if group[j] != group[i]:
+                out.append((i, int(j)))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def _linked_in_tiles(many: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links that connect all similar pairs among ``uid, head, root`` rows of large shingles.
+
+    What such shingles chain together is one lot, so that a pair meets once however many it shares; a lot
+    is dealt to tiles of about ``TILE_SHINGLES``, and a task compares all pairs of two tiles.
+    """
+    lots = components(many.select(F.col("head").alias("a"), F.col("uid").alias("b")))
+    members = many.select("uid", "root").distinct().join(lots.select(F.col("node").alias("uid"), F.col("root").alias("lot")), "uid", "left").withColumn("lot", F.coalesce("lot", "uid"))
+    sets = stage(_shingle_sets(texts.join(members.select("uid"), "uid", "left_semi"), k).join(members, "uid"), "op6-lots")
+    tiles = sets.groupBy("lot").agg(F.ceil(F.sum(F.size("set")) / TILE_SHINGLES).cast("int").alias("tiles"))
+    own = sets.join(tiles, "lot").withColumn("t", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
+    dealt = own.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("lot", F.least("t", "v").alias("t"), F.greatest("t", "v").alias("v"), "uid", "root", "set")
+
+    def run(rows: pa.Table) -> pa.Table:
+        uid, found = rows["uid"].to_numpy(), []
+        if len(uid) > 1:
+            found = connect([x.values.to_numpy() for x in rows["set"]], rows["root"].to_numpy(), similarity)
+        ends = uid[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.table({"a": pa.array(ends.min(1), pa.int64()), "b": pa.array(ends.max(1), pa.int64())})
+
+    return stage(dealt.groupBy("lot", "t", "v").applyInArrow(run, "a long, b long"), "op6-connected")
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, its smallest doc_id.
 
     A pair links if the Jaccard similarity of its distinct ``shingle``-word shingles is ``similarity`` or
     more; a group is what links connect.  Every such pair shares a shingle of both prefixes, so the groups
     are exact.  Each member of a shingle is first compared with the shingle's first member; then all pairs
-    that share one and are not connected yet.  Texts of equal sets are copies, so are texts without a word.
+    that share one and are not connected yet, those of over ``BUCKET`` members tile by tile.  Texts of equal sets are copies, so are texts without a word.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # the written file fixes the number
@@ -273,9 +319,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     named = keyed.join(roots, keyed.uid == roots.node, "left").select("token", "uid", "n", "c", F.col("head.uid").alias("head"), F.coalesce("root", "uid").alias("root"))
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
     rest = stage(named.join(mixed, "token", "left_semi"), "op6-rest")
-    x, y = (rest.select("token", F.col("uid").alias(u), F.col("n").alias(f"n{u}"), F.col("root").alias(f"r{u}")) for u in "ab")
+    few, many = rest.filter(F.col("c") <= BUCKET), rest.filter(F.col("c") > BUCKET)
+    x, y = (few.select("token", F.col("uid").alias(u), F.col("n").alias(f"n{u}"), F.col("root").alias(f"r{u}")) for u in "ab")
     pairs = x.join(y, "token").filter("a < b AND ra != rb").filter(alike("na", "nb")).select("a", "b").distinct()
     linked = linked.unionByName(_similar(stage(pairs.join(stars, ["a", "b"], "left_anti"), "op6-pairs"), texts, shingle, similarity))
+    linked = linked.unionByName(_linked_in_tiles(many, texts, shingle, similarity))
     roots = components(linked)
     groups = alive.join(roots, alive.uid == roots.node, "left").select("rank", F.coalesce("root", "uid").alias("root"))
     kept = groups.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.uid").alias("uid"))

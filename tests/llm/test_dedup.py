@@ -140,6 +140,18 @@ def test_pairs_of_all_similarities(spark):
     assert {r.doc_id for r in got} == left_by_brute_force(rows) and len(got) == len({r.doc_id for r in got})
 
 
+@pytest.mark.parametrize("tile", [400_000, 8_000])
+def test_large_group_of_edited_copies(spark, tile, monkeypatch):
+    """A group beyond a bucket, which members connect that are not similar to its first."""
+    monkeypatch.setattr(op6_simhash, "TILE_SHINGLES", tile)
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    rows = [(i, edited(rng, words, rng.randint(4, 6))) for i in range(120)]
+    rows += [(500 + i, " ".join(rng.choices(words, k=50))) for i in range(10)]
+    got = op6_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id for r in got} == left_by_brute_force(rows) and len(got) < 125
+
+
 def line_key(line):
     return line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
 
