@@ -165,6 +165,22 @@ def test_licenses(spark):
     assert [r.wording for r in got if r.doc_id == 5] == ["-free -of -charge"]
 
 
+def test_license_in_a_long_line():
+    """Every template's verbatim wording amid 800 common words without a line end."""
+    rng = np.random.default_rng(4)
+    common = "the of and to software license copies any other this in work is without permission following distributed version".split()
+    for (name, form), notice in op10_license.TEMPLATES.items():
+        prose = [" ".join(rng.choice(common, 400)) for _ in range(2)]
+        text = f"{prose[0]} and so. {notice} {prose[1]}"
+        found = [got for _, _, block in op10_license.blocks_of(text) for got in found_in(block)]
+        assert (name, form) in [(f[0], f[1]) for f in found], (name, form)
+
+
+def found_in(block):
+    got = op10_license.Scanner().scan(block)
+    return got if isinstance(got, list) else [got] if got else []
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 460)]
