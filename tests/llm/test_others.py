@@ -1,4 +1,5 @@
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -176,6 +177,16 @@ def test_license_in_a_long_line():
         assert (name, form) in [(f[0], f[1]) for f in found], (name, form)
 
 
+def test_neighbouring_licenses(spark):
+    """Two wrapped notices in one run of cue lines, and two on one line."""
+    mit, apache = (textwrap.fill(op10_license.TEMPLATES[k], 80) for k in (("MIT", "grant"), ("Apache-2.0", "header")))
+    texts = [mit + "\n\n" + apache, "Released under the MIT License. Licensed under the Apache License, Version 2.0."]
+    got = op10_license.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    lines = mit.count("\n") + 1
+    assert sorted((r.doc_id, r.license, r.first_line, r.n_lines, r.n_missing) for r in got) == [
+        (0, "Apache-2.0", lines + 1, apache.count("\n") + 1, 0), (0, "MIT", 0, lines, 0), (1, "Apache-2.0", 0, 1, 0), (1, "MIT", 0, 1, 0)]
+
+
 def found_in(block):
     got = op10_license.Scanner().scan(block)
     return got if isinstance(got, list) else [got] if got else []
