@@ -187,6 +187,14 @@ def test_neighbouring_licenses(spark):
         (0, "Apache-2.0", lines + 1, apache.count("\n") + 1, 0), (0, "MIT", 0, lines, 0), (1, "Apache-2.0", 0, 1, 0), (1, "MIT", 0, 1, 0)]
 
 
+def test_license_over_line_ends(spark):
+    """Every template wrapped at several widths, amid lines without a cue."""
+    keys = [(k, width) for k in op10_license.TEMPLATES for width in (16, 40, 70, 80)]
+    texts = ["A line before.\n" + textwrap.fill(op10_license.TEMPLATES[k], width, break_long_words=False, break_on_hyphens=False) + "\nA line after." for k, width in keys]
+    got = op10_license.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license, r.form, r.first_line, r.n_missing) for r in got} == {(i, *k, 1, 0) for i, (k, _) in enumerate(keys)}
+
+
 def found_in(block):
     got = op10_license.Scanner().scan(block)
     return got if isinstance(got, list) else [got] if got else []
