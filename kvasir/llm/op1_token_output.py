@@ -28,14 +28,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from kvasir.llm import huffman, tokens
-from kvasir.llm.common import drop, partitions_for, scratch, stage, table
+from kvasir.llm.common import drop, partitions_for, scratch, sliced, stage, table
 
 FORMAT = b"KVTB"
 BLOCK_IDS = 1 << 18
 STRIDE = 128
 PART_IDS = 6 << 20
+#: File parts whose sizes one task adds up.
+LOT = 4096
 _DOC = np.dtype([("doc_id", "<i8"), ("seq", "<u4"), ("piece", "<u4"), ("n", "<u4"), ("flags", "<u4")])
 
 
@@ -46,12 +49,10 @@ def tokenize(docs: DataFrame, tokenizer_path: str, kind: str = "byte", end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(spec.value, kind)
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
-                n = np.fromiter((len(x) // enc.dtype.itemsize for x in ids), np.int64, len(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for part in sliced(batches, 1):
+            ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
+            n = np.fromiter((len(x) // enc.dtype.itemsize for x in ids), np.int64, len(ids))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -61,7 +62,7 @@ def id_counts(tokenized: DataFrame, id_bytes: int) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in sliced(batches, 0):
             ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{id_bytes}")
             if len(ids):
                 c = np.bincount(ids)
@@ -147,7 +148,7 @@ def read(spark: SparkSession, path: str, digest: Callable[[np.ndarray], int] | N
 
     def run(batches):
         decoder = huffman.decode_table(book.value)
-        for batch in batches:
+        for batch in sliced(batches, 2):
             for part, first, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 docs, ids = read_block(data, decoder)
                 end = np.cumsum(docs["n"].astype(np.int64))
@@ -199,16 +200,18 @@ def documents_of(spark: SparkSession, path: str) -> DataFrame:
 
         return pieces.map(one)
 
-    # one row per file part, on the driver: as many as the writer had tasks
-    sizes = parts.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").toPandas()
-    sizes["base"] = sizes.n.cumsum() - sizes.n
-    base = spark.createDataFrame(list(zip(sizes.part.tolist(), sizes.base.tolist())), "part int, base long")
+    # ids before each file part: within lots of LOT parts, and before the lots, so that one task orders a row per lot
+    sizes = parts.groupBy("part").agg(F.sum("n").alias("n")).withColumn("lot", F.expr(f"part div {LOT}"))
+    before = F.sum("n").over(W.partitionBy("lot").orderBy("part")) - F.col("n")
+    lots = sizes.groupBy("lot").agg(F.sum("n").alias("n"))
+    lots = lots.select("lot", (F.sum("n").over(W.orderBy("lot")) - F.col("n")).alias("lot_base"))
+    base = sizes.withColumn("before", before).join(lots, "lot").select("part", (F.col("lot_base") + F.col("before")).alias("base"))
     docs = parts.groupBy("part", "seq").agg(
         F.first("doc_id").alias("doc_id"), F.min("first").alias("first"), F.sum("n").alias("n_tokens"),
         F.collect_list(F.struct("piece", "n", "value")).alias("pieces"),  # one for each 2^18 ids of the document
     )
     one = docs.select("part", "doc_id", "first", "n_tokens", F.when(F.size("pieces") == 1, F.col("pieces")[0]["value"]).otherwise(joined("pieces")).alias("ids_crc32"))
-    return one.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    return one.join(base, "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def encode_corpus(docs: DataFrame, tokenizer_path: str, out: str, kind: str = "byte", end_id: int = 0) -> None:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvasir.llm import tokens
-from kvasir.llm.common import stage, table
+from kvasir.llm.common import sliced, stage, table
 
 CAPACITY = 2048
 SHARD = 2048
@@ -50,19 +50,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, kind: str = "word", end_id: int
         enc = tokens.encoder(spec.value, kind)
         end = np.array([end_id], enc.dtype).tobytes()
         uid = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                out: list[tuple] = []
-                for doc_id, raw in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
-                    ids = np.frombuffer(raw + end, enc.dtype)
-                    for piece, at in enumerate(range(0, len(ids), capacity)):
-                        own = ids[at : at + capacity].astype("<u4").tobytes()
-                        out.append((uid, doc_id, piece, at, len(own) // 4, zlib.crc32(own), own if keep_ids else None))
-                        uid += 1
-                names = ["uid", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 + keep_ids]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds[: len(names)])], names)
+        for part in sliced(batches, 1):
+            out: list[tuple] = []
+            for doc_id, raw in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
+                ids = np.frombuffer(raw + end, enc.dtype)
+                for piece, at in enumerate(range(0, len(ids), capacity)):
+                    own = ids[at : at + capacity].astype("<u4").tobytes()
+                    out.append((uid, doc_id, piece, at, len(own) // 4, zlib.crc32(own), own if keep_ids else None))
+                    uid += 1
+            names = ["uid", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 + keep_ids]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds[: len(names)])], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECES + ", ids binary" * keep_ids)
 
