@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -56,11 +57,24 @@ def drop(spark: SparkSession, *paths: str) -> None:
         _forget(spark, path)
 
 
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession):
+    """What the statement shuffles goes when it ends, as no later one reads it, and not when the driver's garbage is collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was) if was else spark.conf.unset(name)
+
+
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends in files that survive lost executors."""
     spark = df.sparkSession
     path = path or scratch(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with _shuffles_end(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

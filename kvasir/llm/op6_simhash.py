@@ -16,7 +16,7 @@ text of fewer words than a shingle is one shingle; repeated rows keep a row each
 part in a component's smallest doc_id (null only if all its ids are); an empty table gives no rows;
 other columns are ignored.
 
-``keep_one``, the pipeline's stage, uses no fingerprints: its pairs are exact by prefixes of shingle sets.
+``keep_one``, the pipeline's stage, verifies proposals by the texts, and finds the pairs that fingerprints miss.
 """
 
 from __future__ import annotations
@@ -28,19 +28,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvasir.llm.common import components, stage, table
+from kvasir.llm.common import components, drop, scratch, sliced, stage, table
 
 SHINGLE = 3
 DISTANCE = 2
 BUCKET = 24
 TILE = 8192
-#: ``keep_one``: shingles of a tile; texts, and characters of each, that tell the common ones. The cost depends on them, not the result.
+#: ``keep_one``: shingles of a tile; texts that tell the common ones, and how many of these. The cost depends on them, not the result.
 TILE_SHINGLES = 400_000
 SAMPLE_ROWS = 10_000
-SAMPLE_CHARS = 20_000
 COMMON = 200_000
 
 
@@ -55,42 +55,43 @@ def _shingle_hashes(text: str | None, k: int) -> list[int]:
     return [xxh64_intdigest(s, 42) for s in map(b" ".join, zip(*(words[i:] for i in range(k))))]
 
 
-def fingerprints_of(texts: list[str | None], k: int = SHINGLE) -> np.ndarray:
-    """Unsigned 64-bit SimHash of each text; a bit is set if over half the shingles' hashes have it."""
-    out = np.zeros(len(texts), np.uint64)
-    held: list[int] = []
-    sizes: list[int] = []
-
-    def settle(upto: int) -> None:
-        n = np.array(sizes, np.int64)
+def simhash(rows: list[list[int]]) -> np.ndarray:
+    """Unsigned 64-bit SimHash of each row of hashes; a bit is set if over half of them have it."""
+    out = np.zeros(len(rows), np.uint64)
+    at = 0
+    while at < len(rows):
+        end, size = at, 0
+        while end < len(rows) and (size < 200_000 or end == at):
+            size += len(rows[end])
+            end += 1
+        n = np.array([len(r) for r in rows[at:end]], np.int64)
         some = np.flatnonzero(n)
         if len(some):
-            bits = np.unpackbits(np.array(held, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            starts = np.concatenate([[0], np.cumsum(n[some])[:-1]])
-            ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            major = 2 * ones.astype(np.int64) > n[some][:, None]
-            out[upto - len(sizes) + some] = np.packbits(major, axis=1, bitorder="little").view("<u8").ravel()
-        held.clear()
-        sizes.clear()
-
-    for i, text in enumerate(texts):
-        hashes = _shingle_hashes(text, k)
-        held.extend(hashes)
-        sizes.append(len(hashes))
-        if len(held) > 200_000:
-            settle(i + 1)
-    settle(len(texts))
+            held = np.concatenate([np.array(r, "<u8") for r in rows[at:end]])
+            starts = np.concatenate([[0], np.cumsum(n[some])])
+            ones = np.zeros((len(some), 64), np.int64)
+            # a long row's hashes are unpacked a stretch at a time
+            for lo in range(0, len(held), 1 << 18):
+                bits = np.unpackbits(held[lo : lo + (1 << 18)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                a, b = np.searchsorted(starts, [lo, lo + len(bits) - 1], side="right") - 1
+                own = np.maximum(starts[a : b + 1] - lo, 0)
+                ones[a : b + 1] += np.add.reduceat(bits, own, axis=0, dtype=np.int64)
+            major = 2 * ones > n[some][:, None]
+            out[at + some] = np.packbits(major, axis=1, bitorder="little").view("<u8").ravel()
+        at = end
     return out
 
 
+def fingerprints_of(texts: list[str | None], k: int = SHINGLE) -> np.ndarray:
+    return simhash([_shingle_hashes(t, k) for t in texts])
+
+
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (signed 64 bits) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(part.column(1).to_pylist(), k).view(np.int64))], ["doc_id", "fp"])
+        for part in sliced(batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(part.column(1).to_pylist(), k).view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
@@ -181,69 +182,70 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, d: int = DISTANCE) -> Dat
     return cluster(stage(fingerprints(docs, k), "op6-fp"), d)
 
 
-def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``uid, set``: the distinct hashes of a text's shingles."""
+def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """``uid, set`` of ``uid, text``: the distinct hashes of a text's shingles."""
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [np.unique(np.array(_shingle_hashes(t, k), np.uint64)).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["uid", "set"])
+        for part in sliced(batches, 1):
+            sets = [np.unique(np.array(_shingle_hashes(t, k), np.uint64)).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["uid", "set"])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, set array<long>")
+    return texts.mapInArrow(run, "uid long, set array<long>")
 
 
 def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """At most ``COMMON`` hashes, ascending, of shingles that three or more sampled texts hold, and their counts."""
     share = SAMPLE_ROWS / max(texts.count(), 1)
     some = texts if share >= 1 else texts.sample(share, 7)
-    held = _shingle_sets(some.select("uid", F.substring("text", 1, SAMPLE_CHARS).alias("text")), k).select(F.explode("set").alias("token"))
+    held = _shingle_sets(some.select(F.monotonically_increasing_id().alias("uid"), "text"), k).select(F.explode("set").alias("token"))
     rows = held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n")).limit(COMMON).toArrow()
     tokens, counts = (rows[c].to_numpy() for c in ("token", "n"))
     order = np.argsort(tokens)
     return tokens[order], counts[order]
 
 
-def _prefixes(docs: DataFrame, k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``uid, id, h, n, prefix`` of ``uid, id, text``: hash and size of the text's shingle set, and its first shingles.
+def _signatures(texts: DataFrame, k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``uid, id, tag, h, n, fp, prefix`` of ``id, tag, text``: a row's number, hash and size of the text's shingle set, its fingerprint and first shingles.
 
     Sets of similarity s share at least ``ceil(s * n)`` shingles of either, so their first
     ``n - ceil(s * n) + 1`` in any one order have one in common.  The order is common shingles last.
+    Stage it: ``uid`` numbers a task's rows.
     """
     tokens, counts = common
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                hashes, sizes, firsts = [], [], []
-                for text in part.column(2).to_pylist():
-                    own = np.unique(np.array(_shingle_hashes(text, k), np.uint64)).view(np.int64)
-                    n = len(own)
-                    upto = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-                    weight = np.zeros(n, np.int64)
-                    if len(tokens):
-                        place = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
-                        weight = np.where(tokens[place] == own, counts[place], 0)
-                    hashes.append(_signed(xxh64_intdigest(own.tobytes(), 42)))
-                    sizes.append(n)
-                    firsts.append(own[np.lexsort((own, weight))[:upto]])
-                columns = [part.column(0), part.column(1), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["uid", "id", "h", "n", "prefix"])
-
-    return docs.select("uid", "id", "text").mapInArrow(run, "uid long, id long, h long, n int, prefix array<long>")
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The staged ``(a, b)`` whose shingle sets are similar."""
-    ends = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    sets = stage(_shingle_sets(texts.join(ends, "uid", "left_semi"), k), "op6-sets")
+        uid = TaskContext.get().partitionId() << 32
+        for part in sliced(batches, 2):
+            rows = [_shingle_hashes(t, k) for t in part.column(2).to_pylist()]
+            hashes, sizes, firsts = [], [], []
+            for row in rows:
+                own = np.unique(np.array(row, np.uint64)).view(np.int64)
+                n = len(own)
+                upto = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+                weight = np.zeros(n, np.int64)
+                if len(tokens):
+                    place = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+                    weight = np.where(tokens[place] == own, counts[place], 0)
+                hashes.append(_signed(xxh64_intdigest(own.tobytes(), 42)))
+                sizes.append(n)
+                firsts.append(own[np.lexsort((own, weight))[:upto]])
+            columns = [pa.array(np.arange(uid, uid + len(rows))), part.column(0), part.column(1), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()),
+                       pa.array(simhash(rows).view(np.int64)), pa.array(firsts, pa.list_(pa.int64()))]
+            uid += len(rows)
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "id", "tag", "h", "n", "fp", "prefix"])
+
+    return texts.select("id", "tag", "text").mapInArrow(run, "uid long, id long, tag long, h long, n int, fp long, prefix array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``(a, b)`` whose shingle sets are similar."""
     x, y = sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), sets.select(F.col("uid").alias("b"), F.col("set").alias("y"))
+    least, most = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return stage(pairs.join(x, "a").join(y, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "op6-linked")
+    alike = (least >= similarity * most - 1e-9) & (both >= similarity * (F.size("x") + F.size("y") - both))
+    return stage(pairs.join(x, "a").join(y, "b").filter(alike).select("a", "b"), "op6-linked")
 
 
 def connect(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -268,17 +270,17 @@ def connect(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> lis
     return out
 
 
-def _linked_in_tiles(many: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Links that connect all similar pairs among ``uid, head, root`` rows of large shingles.
+def _linked_in_tiles(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links that connect all similar pairs that share a token of ``token, uid, head, root``.
 
-    What such shingles chain together is one lot, so that a pair meets once however many it shares; a lot
-    is dealt to tiles of about ``TILE_SHINGLES``, and a task compares all pairs of two tiles.
+    What tokens chain together is one lot, so that a pair meets once however many it shares; a lot is
+    dealt to tiles of about ``TILE_SHINGLES``, and a task compares two tiles.
     """
-    lots = components(many.select(F.col("head").alias("a"), F.col("uid").alias("b")))
-    members = many.select("uid", "root").distinct().join(lots.select(F.col("node").alias("uid"), F.col("root").alias("lot")), "uid", "left").withColumn("lot", F.coalesce("lot", "uid"))
-    sets = stage(_shingle_sets(texts.join(members.select("uid"), "uid", "left_semi"), k).join(members, "uid"), "op6-lots")
-    tiles = sets.groupBy("lot").agg(F.ceil(F.sum(F.size("set")) / TILE_SHINGLES).cast("int").alias("tiles"))
-    own = sets.join(tiles, "lot").withColumn("t", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
+    lots = components(rest.select(F.col("head").alias("a"), F.col("uid").alias("b")))
+    members = rest.select("uid", "root").distinct().join(lots.select(F.col("node").alias("uid"), F.col("root").alias("lot")), "uid", "left").withColumn("lot", F.coalesce("lot", "uid"))
+    own = stage(sets.join(members, "uid"), "op6-lots")
+    tiles = own.groupBy("lot").agg(F.ceil(F.sum(F.size("set")) / TILE_SHINGLES).cast("int").alias("tiles"))
+    own = own.join(tiles, "lot").withColumn("t", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
     dealt = own.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("lot", F.least("t", "v").alias("t"), F.greatest("t", "v").alias("v"), "uid", "root", "set")
 
     def run(rows: pa.Table) -> pa.Table:
@@ -295,39 +297,47 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     """``docs`` with one document of each near-duplicate group, its smallest doc_id.
 
     A pair links if the Jaccard similarity of its distinct ``shingle``-word shingles is ``similarity`` or
-    more; a group is what links connect.  Every such pair shares a shingle of both prefixes, so the groups
-    are exact.  Each member of a shingle is first compared with the shingle's first member; then all pairs
-    that share one and are not connected yet, those of over ``BUCKET`` members tile by tile.  Texts of equal sets are copies, so are texts without a word.
+    more; a group is what links connect.  Texts of equal sets are copies, so are texts without a word.
+    Pairs are proposed by ``links`` of the fingerprints, and by each shared prefix shingle with its first
+    holder, and verified.  As similar texts can differ in more bits than blocks can bear, the rest is
+    settled exactly: every similar pair shares a prefix shingle, so what such shingles hold and proposals
+    did not connect is compared in tiles.  A row that repeats another's doc_id and text is that row.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # the written file fixes the number
-    own = stage(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.monotonically_increasing_id().alias("uid")), "op6-docs")
-    numbered = own.select("uid", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), text.alias("text"))
-    texts = numbered.select("uid", "text")
-    prefixes = stage(_prefixes(numbered, shingle, similarity, _common(texts, shingle)), "op6-prefixes")
-    alive = stage(prefixes.groupBy("h", "n").agg(F.min(F.struct("id", "uid")).alias("rank")).select("rank", F.col("rank.uid").alias("uid")), "op6-alive")
-    postings = prefixes.select("uid", "n", F.explode("prefix").alias("token")).join(alive.select("uid"), "uid", "left_semi")
-    sizes = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("uid", "n")).alias("head")).filter("c > 1")
-    keyed = stage(postings.join(sizes, "token"), "op6-keys")
-
-    def alike(m, n):
-        return F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
-
-    stars = stage(keyed.filter(F.col("uid") != F.col("head.uid")).filter(alike("n", "head.n")).select(F.col("head.uid").alias("a"), F.col("uid").alias("b")).distinct(), "op6-stars")
-    linked = _similar(stars, texts, shingle, similarity)
+    keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("doc_id", text).alias("tag"))
+    texts = docs.select(*keys, text.alias("text"))
+    all_rows = scratch(spark, "op6-signatures")
+    signed = stage(_signatures(texts, shingle, similarity, _common(texts.select("text"), shingle)), "op6-signatures", all_rows)
+    first = signed.groupBy("h", "n").agg(F.min(F.struct("id", "uid")).alias("rank")).select("rank.uid")
+    live = stage(signed.join(first, "uid", "left_semi").select("uid", "id", "tag", "fp", "prefix"), "op6-live")
+    drop(spark, all_rows)
+
+    postings = live.select("uid", F.explode("prefix").alias("token"))
+    sizes = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("head")).filter("c > 1").select("token", "head")
+    keyed = stage(postings.join(sizes, "token"), "op6-keyed")
+    wanted = live.select("uid", "id", "tag").join(keyed.select("uid").distinct(), "uid", "left_semi")
+    met = texts.join(wanted.hint("merge"), ["id", "tag"]).dropDuplicates(["id", "tag"])
+    sets = stage(_shingle_sets(met.select("uid", "text"), shingle), "op6-sets")
+
+    words = stage(live.groupBy("fp").agg(F.min("uid").alias("uid")), "op6-words")
+    near = links(words.select("fp"), words.count())
+    near = near.join(words.select(F.col("fp").alias("a"), F.col("uid").alias("x")), "a").join(words.select(F.col("fp").alias("b"), F.col("uid").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = live.select("fp", F.col("uid").alias("b")).join(words.withColumnRenamed("uid", "a"), "fp").select("a", "b")
+    stars = keyed.select(F.col("head").alias("a"), F.col("uid").alias("b"))
+    proposed = stars.unionByName(near).unionByName(same).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = _similar(proposed, sets, similarity)
+
     roots = components(linked)
-    named = keyed.join(roots, keyed.uid == roots.node, "left").select("token", "uid", "n", "c", F.col("head.uid").alias("head"), F.coalesce("root", "uid").alias("root"))
-    mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
+    named = keyed.join(roots, keyed.uid == roots.node, "left").select("token", "uid", "head", F.coalesce("root", "uid").alias("root"))
+    mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
     rest = stage(named.join(mixed, "token", "left_semi"), "op6-rest")
-    few, many = rest.filter(F.col("c") <= BUCKET), rest.filter(F.col("c") > BUCKET)
-    x, y = (few.select("token", F.col("uid").alias(u), F.col("n").alias(f"n{u}"), F.col("root").alias(f"r{u}")) for u in "ab")
-    pairs = x.join(y, "token").filter("a < b AND ra != rb").filter(alike("na", "nb")).select("a", "b").distinct()
-    linked = linked.unionByName(_similar(stage(pairs.join(stars, ["a", "b"], "left_anti"), "op6-pairs"), texts, shingle, similarity))
-    linked = linked.unionByName(_linked_in_tiles(many, texts, shingle, similarity))
-    roots = components(linked)
-    groups = alive.join(roots, alive.uid == roots.node, "left").select("rank", F.coalesce("root", "uid").alias("root"))
-    kept = groups.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.uid").alias("uid"))
-    return own.join(kept, "uid", "left_semi").select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    roots = components(linked.unionByName(_linked_in_tiles(rest, sets, similarity)))
+    groups = live.select("uid", "id", "tag").join(roots, live.uid == roots.node, "left").withColumn("root", F.coalesce("root", "uid"))
+    kept = groups.groupBy("root").agg(F.min(F.struct("id", "uid", "tag")).alias("rank")).select("rank.id", "rank.tag")
+    own = docs.select(*keys, "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    own = own.join(stage(kept, "op6-kept").hint("merge"), ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"])
+    return own.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
