@@ -29,10 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kvasir.llm.common import table
+from kvasir.llm.common import sliced, table
 
 ORDER = 4
 FIT_ROWS = 500
+SALTS = 256
 FIT_CHARS = 20_000
 ALPHABET = 250
 REJECT = 0.999
@@ -208,14 +209,20 @@ def _held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame) -> Models | None:
-    """Fit and calibrate on two bounded samples (each at most ``FIT_ROWS`` texts of a language) of the rows that are not held out."""
+def chosen(docs: DataFrame) -> DataFrame:
+    """``lang, h, text``: the rows that ``fit`` takes, at most ``2 * FIT_ROWS`` of a language, of those that are not held out."""
     labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL").filter(~_held_out())
-    fits = labelled.filter(F.length("text").between(1, FIT_CHARS)).withColumn("h", F.xxhash64("doc_id"))
-    # the hash up to which each language's rows are taken, from narrow rows; Spark keeps the first of each task before it shuffles
-    narrow = fits.select("lang", "h").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= 2 * FIT_ROWS)
-    upto = narrow.groupBy("lang").agg(F.max("h").alias("upto"))  # a row for each language
-    first = fits.join(F.broadcast(upto), "lang").filter(F.col("h") <= F.col("upto")).select("lang", "h", "text").toPandas()
+    fits = labelled.filter(F.length("text").between(1, FIT_CHARS)).filter(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("doc_id", "text"))
+    # rows that repeat doc_id and text count once; the least hashes of each salt, then of each language, so that no task ranks all rows of one
+    narrow = fits.select("lang", "h").distinct().withColumn("salt", F.pmod(F.shiftright("h", 8), F.lit(SALTS)))
+    salted = narrow.withColumn("r", F.row_number().over(W.partitionBy("lang", "salt").orderBy("h"))).filter(F.col("r") <= 2 * FIT_ROWS)
+    least = salted.select("lang", "h").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= 2 * FIT_ROWS)
+    return fits.join(least.select("lang", "h"), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame) -> Models | None:
+    """Fit and calibrate on two bounded samples, each at most ``FIT_ROWS`` texts of a language."""
+    first = chosen(docs).toPandas()
     first = first[first.text.map(has_letter).astype(bool)].sort_values(["lang", "h", "text"])
     first["r"] = first.groupby("lang").cumcount()
     if first.empty:
@@ -241,27 +248,20 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = fixed.value
         classes = Classes(m.letters) if m else None
-        for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (size < 400_000 or end == at):
-                    size += len(texts[end] or "")
-                    end += 1
-                own = texts[at:end]
-                pred, score, entropy, rejected = ["und"] * len(own), np.zeros(len(own)), np.full(len(own), np.nan), np.ones(len(own), bool)
-                some = [k for k, t in enumerate(own) if m and has_letter(t)]
-                if some:
-                    e = m.entropies([classes.of(own[k]) for k in some])
-                    best = e.argmin(1)
-                    z = -(e - e.min(1, keepdims=True)) * m.temperature
-                    score[some] = 1 / np.exp(z).sum(1)
-                    entropy[some] = e.min(1)
-                    rejected[some] = e.min(1) > m.limit[best]
-                    for k, b in zip(some, best.tolist()):
-                        pred[k] = m.languages[b]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(pred), pa.array(score), pa.array(entropy), pa.array(rejected)], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
-                at = end
+        for part in sliced(batches, 1, 400_000):
+            own = part.column(1).to_pylist()
+            pred, score, entropy, rejected = ["und"] * len(own), np.zeros(len(own)), np.full(len(own), np.nan), np.ones(len(own), bool)
+            some = [k for k, t in enumerate(own) if m and has_letter(t)]
+            if some:
+                e = m.entropies([classes.of(own[k]) for k in some])
+                best = e.argmin(1)
+                z = -(e - e.min(1, keepdims=True)) * m.temperature
+                score[some] = 1 / np.exp(z).sum(1)
+                entropy[some] = e.min(1)
+                rejected[some] = e.min(1) > m.limit[best]
+                for k, b in zip(some, best.tolist()):
+                    pred[k] = m.languages[b]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred), pa.array(score), pa.array(entropy), pa.array(rejected)], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
