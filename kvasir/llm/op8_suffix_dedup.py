@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvasir.llm import bwt
-from kvasir.llm.common import stage, table
+from kvasir.llm.common import sliced, stage, table
 
 WIDTH = 200
 ANCHOR = 48
@@ -127,7 +127,7 @@ def document_parts(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        for batch in batches:
+        for batch in sliced(batches, 2):
             doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for chunk in _chunks([t.encode() for t in batch.column(2).to_pylist()], width):
                 found = parts_of([raw for _, _, raw in chunk], width, anchor)
@@ -143,22 +143,21 @@ def document_parts(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The bytes of the ``wanted`` parts, a row for each: ``anchor, content, n, place, raw, doc, tag, start``."""
-    per_doc = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "content", "n", "start", "strings", "place")).alias("parts"))
+    """The bytes of the ``wanted`` parts, a row for each: ``anchor, content, n, k, place, raw, doc, tag, start``."""
+    per_doc = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "content", "n", "k", "start", "strings", "place")).alias("parts"))
     # repeated rows are alike: one of them serves
     texts = _located(docs).join(per_doc.hint("merge"), ["doc", "tag"])
 
     def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part, out = batch.slice(k, 200), []
-                for doc, tag, text, parts in zip(*(part.column(c).to_pylist() for c in range(4))):
-                    raw = text.encode()
-                    out.extend((p["anchor"], p["content"], p["n"], p["place"], raw[p["start"] : p["start"] + p["strings"] + width - 1], doc, tag, p["start"]) for p in parts)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], ["anchor", "content", "n", "place", "raw", "doc", "tag", "start"])
+        for part in sliced(batches, 2):
+            out = []
+            for doc, tag, text, parts in zip(*(part.column(c).to_pylist() for c in range(4))):
+                raw = text.encode()
+                out.extend((p["anchor"], p["content"], p["n"], p["k"], p["place"], raw[p["start"] : p["start"] + p["strings"] + width - 1], doc, tag, p["start"]) for p in parts)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], ["anchor", "content", "n", "k", "place", "raw", "doc", "tag", "start"])
 
-    return texts.select("doc", "tag", "text", "parts").mapInArrow(run, "anchor long, content long, n long, place int, raw binary, doc long, tag long, start long").dropDuplicates(["anchor", "content"])
+    return texts.select("doc", "tag", "text", "parts").mapInArrow(run, "anchor long, content long, n long, k long, place int, raw binary, doc long, tag long, start long").dropDuplicates(["anchor", "content"])
 
 
 _SPAN = "doc long, tag long, start long, strings long"
@@ -210,13 +209,12 @@ def _dealt_spans(texts: DataFrame, width: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
     """``doc, tag, start, strings``: runs of consecutive starts of repeated strings; some rows may overlap."""
     parts = stage(document_parts(docs, width, anchor), "op8-parts")
-    shared = parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    parts = stage(parts.join(shared, "anchor", "left_semi"), "op8-shared")
-    distinct = stage(parts.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tag", "start", "strings", "place")).alias("one")), "op8-distinct")
-    groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select("anchor", "k")
-    wanted = distinct.join(groups, "anchor").select("anchor", "content", "n", "one.*")
-    texts = stage(_fetch(docs, wanted, width).join(groups, "anchor"), "op8-texts")
-    spans = [parts.join(distinct.filter("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("doc", "tag", "start", F.col("strings").cast("long"))]
+    # counted apart and written before they are joined: Spark then splits the rows of a hot anchor among tasks
+    counted = stage(parts.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tag", "start", "strings", "place")).alias("one")), "op8-counted")
+    groups = stage(counted.groupBy("anchor").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("rows > 1"), "op8-groups")
+    wanted = counted.join(groups.filter("k > 1 AND least = 1").select("anchor", "k"), "anchor").select("anchor", "content", "n", "k", "one.*")
+    texts = stage(_fetch(docs, wanted, width), "op8-texts")
+    spans = [parts.join(counted.filter("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("doc", "tag", "start", F.col("strings").cast("long"))]
     fits = F.col("k") <= group
     spans.append(_sorted_spans(texts.filter(fits).withColumn("grp", F.struct("anchor")), width))
     big = texts.filter(~fits)
@@ -276,15 +274,14 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part, out = batch.slice(k, 1000), []
-                for doc_id, text, spans in zip(*(part.column(c).to_pylist() for c in range(3))):
-                    raw = (text or "").encode()
-                    kept, runs = cut(raw, spans)
-                    out.append((doc_id, len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
-                kinds = [pa.int64()] * 4 + [pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        for part in sliced(batches, 1):
+            out = []
+            for doc_id, text, spans in zip(*(part.column(c).to_pylist() for c in range(3))):
+                raw = (text or "").encode()
+                kept, runs = cut(raw, spans)
+                out.append((doc_id, len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+            kinds = [pa.int64()] * 4 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return _with_spans(docs, WIDTH, ANCHOR).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
