@@ -157,7 +157,7 @@ def links(words: DataFrame, n: int, d: int = DISTANCE, bucket: int = BUCKET) ->
     masks = [_signed(x) for x in _masks(m, d)]
     keys = words.select("fp", F.explode(F.array(*[F.lit(x) for x in masks])).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     sizes = keys.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    keyed = stage(keys.join(sizes, ["mask", "key"]), "op6-keys")
+    keyed = stage(keys.join(stage(sizes, "op6-sizes"), ["mask", "key"]), "op6-keys")
     few, many = keyed.filter(F.col("n") <= bucket), keyed.filter(F.col("n") > bucket)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= d
     pairs = (
@@ -314,8 +314,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     drop(spark, all_rows)
 
     postings = live.select("uid", F.explode("prefix").alias("token"))
+    # written before it is joined: Spark then splits the rows of a hot shingle among tasks
     sizes = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("head")).filter("c > 1").select("token", "head")
-    keyed = stage(postings.join(sizes, "token"), "op6-keyed")
+    keyed = stage(postings.join(stage(sizes, "op6-sizes"), "token"), "op6-keyed")
     wanted = live.select("uid", "id", "tag").join(keyed.select("uid").distinct(), "uid", "left_semi")
     met = texts.join(wanted.hint("merge"), ["id", "tag"]).dropDuplicates(["id", "tag"])
     sets = stage(_shingle_sets(met.select("uid", "text"), shingle), "op6-sets")
@@ -331,7 +332,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     roots = components(linked)
     named = keyed.join(roots, keyed.uid == roots.node, "left").select("token", "uid", "head", F.coalesce("root", "uid").alias("root"))
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
-    rest = stage(named.join(mixed, "token", "left_semi"), "op6-rest")
+    rest = stage(named.join(stage(mixed, "op6-mixed"), "token", "left_semi"), "op6-rest")
     roots = components(linked.unionByName(_linked_in_tiles(rest, sets, similarity)))
     groups = live.select("uid", "id", "tag").join(roots, live.uid == roots.node, "left").withColumn("root", F.coalesce("root", "uid"))
     kept = groups.groupBy("root").agg(F.min(F.struct("id", "uid", "tag")).alias("rank")).select("rank.id", "rank.tag")

@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvasir.llm.common import partitions_for, stage, table
+from kvasir.llm.common import partitions_for, sliced, stage, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 ROWS_PER_TASK = 1_000_000
+SALTS = 64
 _SPACE = " \t\n\x0b\x0c\r"
 _LOW = np.iinfo(np.int64).min  # stands for a null doc_id in the order
 
@@ -44,7 +45,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in sliced(batches, 1):
             keys, doc, tag, n_lines, at = [], [], [], [], []
             for d, text, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 found: dict[bytes, list[int]] = {}
@@ -111,7 +112,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         "op7-stream",
     )
     counts = seen.filter("kind = 2").groupBy("hi", "lo").agg(F.sum("n_docs").alias("docs"), F.max("doc").alias("last")).filter(F.col("docs") >= min_docs)
-    settled = seen.filter("kind = 1").join(counts, ["hi", "lo"]).filter("doc != last")
+    # two keys of a batch at most are open, but a hot key's rows may fill many batches: they are dealt to salts, the counts copied
+    salted = seen.filter("kind = 1").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    copied = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    settled = salted.join(copied, ["hi", "lo", "salt"]).filter("doc != last")
     lost = seen.filter("kind = 0").select("doc", "tag", "n_lines", "at").unionByName(settled.select("doc", "tag", "n_lines", "at"))
     # a document's own lines bound what its group holds
     per_doc = lost.groupBy("doc", "tag").agg(F.max("n_lines").alias("n_lines"), F.collect_list("at").alias("at"))
@@ -160,7 +164,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             n, lost, sha = [], [], []
             for text, keep in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 all_lines, kept = kept_lines(text, keep)

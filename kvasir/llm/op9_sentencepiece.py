@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvasir.llm.common import table
+from kvasir.llm.common import sliced, table
 
 SPACE = "▁"
 CHUNKS = 300_000
@@ -286,10 +286,8 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = compiled(model.value)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t.encode(x).tobytes() for x in part.column(1).to_pylist()], pa.binary())], ["doc_id", "text", "ids"])
+        for part in sliced(batches, 1):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t.encode(x).tobytes() for x in part.column(1).to_pylist()], pa.binary())], ["doc_id", "text", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string, ids binary")
 
@@ -301,7 +299,7 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         t = compiled(model.value)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             texts = [t.decode(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -319,7 +317,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = compiled(model.value)
         is_byte = np.array([k == _BYTE for k in t.kinds])
-        for batch in batches:
+        for batch in sliced(batches, 2):
             n, n_bytes, crc, back, sha = [], [], [], [], []
             for text, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 ids = np.frombuffer(raw, "<u4")

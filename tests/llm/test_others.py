@@ -1,3 +1,4 @@
+import random
 import re
 import textwrap
 from collections import Counter
@@ -53,6 +54,39 @@ def test_order_does_not_change_verdicts(spark, odd):
     assert a == b
 
 
+def test_rules_are_ordered_by_what_they_reject_per_cost():
+    order = op3_quality.greedy
+    rejects = [frozenset(x) for x in (["a", "b"], ["a", "b"], ["b"], ["c"], [])]
+    assert order({"a": 1.0, "b": 1.0, "c": 1.0}, rejects) == ["b", "c", "a"]  # a rejects nothing that b leaves
+    assert order({"a": 1.0, "b": 9.0, "c": 1.0}, rejects) == ["a", "c", "b"]
+    assert order({"b": 2.0, "a": 2.0, "c": 1.0}, []) == ["c", "a", "b"]
+
+
+def test_costs_are_measured(spark):
+    """A rule that scans the text's words costs more than one that compares statistics, and rejections are those of the sample."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(400)) + (" #" * 200 if i % 4 == 0 else "")) for i in range(200)]
+    rules = {"cheap": "10 * n_symbols > n_words", "dear": "size(filter(w, x -> x rlike '(a+|b+)(c+|d+)$')) > n_words"}
+    costs, rejects = op3_quality.measured(spark.createDataFrame(rows, "doc_id long, text string"), rules)
+    assert costs["dear"] > costs["cheap"]
+    assert sum("cheap" in x for x in rejects) == 50 and len(rejects) == 200 and not any("dear" in x for x in rejects)
+
+
+def test_each_rule_rejects_what_it_names(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    plain = [word() for _ in range(60)]
+    texts = {
+        "bullets": "\n".join("- " + " ".join(plain[k : k + 6]) for k in range(0, 60, 6)), "ellipses": "\n".join(" ".join(plain[k : k + 6]) + "..." for k in range(0, 60, 6)),
+        "few_words": " ".join(rng.choices(plain[:9], k=60)), "letterless": " ".join(w if k % 2 else str(rng.random()) for k, w in enumerate(plain)),
+        "shouting": " ".join(plain).upper(), "exclaims": "!! ".join(plain), "symbols": "# ".join(plain), None: " ".join(plain),
+    }
+    df = spark.createDataFrame([(k or "none", t) for k, t in texts.items()], "doc_id string, text string")
+    got = op3_quality.statistics(df).select("doc_id", *[op3_quality.F.expr(r).alias(k) for k, r in op3_quality.RULES.items() if k != "repeats"]).collect()
+    for r in got:
+        assert {k for k, v in r.asDict().items() if v is True} == ({r.doc_id} - {"none"})
+
+
 def brute_top(rows, k=20):
     good = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(np.int64)) for i, v in rows
             if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(np.array(v, float)).all()]
@@ -114,6 +148,59 @@ def test_language(spark, odd):
     assert {r.lang_pred for r in got} <= {"und", "en", "fr"} and all(0 <= r.score <= 1 for r in got)
 
 
+def kneser_ney(rows, order, size):
+    """Interpolated Kneser-Ney by dictionaries: a function of context and symbol."""
+    tables = []
+    for n in range(1, order + 1):
+        own = Counter(tuple(r[i : i + n]) for r in rows for i in range(len(r) - n + 1))
+        if n < order:
+            longer = {tuple(r[i : i + n + 1]) for r in rows for i in range(len(r) - n)}
+            own = Counter(g[1:] for g in longer)
+        total, kinds = Counter(), Counter()
+        for g, c in own.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        ones, twos = (sum(c == k for c in own.values()) for k in (1, 2))
+        tables.append((own, total, kinds, min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1))
+
+    def p(context, c):
+        lower = p(context[1:], c) if context else 1 / size
+        own, total, kinds, d = tables[len(context)]
+        if not total[context]:
+            return lower
+        return max(own[(*context, c)] - d, 0) / total[context] + d * kinds[context] / total[context] * lower
+
+    return p
+
+
+def test_models_equal_kneser_ney_by_dictionaries():
+    rng = np.random.default_rng(8)
+    letters = "abcdef"
+    make = lambda p, n: "".join(rng.choice(list("abcdef  "), size=n, p=p))
+    shares = {"x": [0.3, 0.2, 0.1, 0.1, 0.05, 0.05, 0.1, 0.1], "y": [0.05, 0.05, 0.1, 0.1, 0.2, 0.3, 0.1, 0.1]}
+    classes = op5_language.Classes(letters)
+    rows = {k: [classes.of(make(p, 120)) for _ in range(6)] for k, p in shares.items()}
+    m = op5_language.Models(["x", "y"], letters, [op5_language._count(r) for r in rows.values()])
+    texts = [classes.of(t) for t in (make(shares["x"], 200), "a", "fade é dab", make(shares["y"], 3))]
+    got = m.entropies(texts)
+    for k, own in enumerate(rows.values()):
+        p = kneser_ney([r.tolist() for r in own], op5_language.ORDER, len(letters) + 3)
+        for i, r in enumerate(texts):
+            r = r.tolist()
+            logs = [np.log(p(tuple(r[max(0, j - op5_language.ORDER + 1) : j]), r[j])) for j in range(len(r))]
+            assert got[i, k] == pytest.approx(-sum(logs) / (len(r) - 1 or 1), rel=1e-4)
+
+
+def test_the_fit_is_bounded_however_often_a_row_repeats(spark, monkeypatch):
+    monkeypatch.setattr(op5_language, "FIT_ROWS", 20)
+    rows = [(1, "one text that is repeated", "a")] * 3000 + [(1, f"another text {i}", "a") for i in range(500)] + [(i, f"ein text {i}", "b") for i in range(30)] + [(None, f"x {i}", "c") for i in range(500)]
+    got = op5_language.chosen(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)).collect()
+    n = Counter(r.lang for r in got)
+    assert n["a"] == n["c"] == 40 and len({(r.lang, r.h) for r in got}) == len(got)
+    # doc_id 1 and null may be held out as a whole; b has what the rule leaves
+    assert 0 < n["b"] < 30
+
+
 def test_language_held_out(spark):
     rows = []
     for i in range(300):
