@@ -4,8 +4,9 @@ Documents become token pieces of at most ``CAPACITY``; full pieces are sequences
 others are dealt by hash to shards of about ``SHARD`` pieces.  Each shard evolves on ``ISLANDS``
 islands, tasks of their own: crossover injects whole well-filled bins of one parent into the other,
 drops the bins that would repeat a piece, and best-fits the displaced pieces, longest first.  After each
-epoch an island's elite migrates to the next island of its shard through a shuffle.  An island rests
-once it reaches the shard's lower bound.  Bins that stay loose are opened again and their pieces dealt
+epoch an island's elite migrates to the next island of its shard through a shuffle.  The first population
+is best fit decreasing and best fits in orders that stray from it; an island rests once it reaches the
+shard's lower bound, no search can pass it.  Bins that stay loose are opened again and their pieces dealt
 to new shards, ``LEVELS`` times, so that loose ends of many shards meet.  A shard's size, not the
 input's, bounds what a task holds.
 
@@ -32,10 +33,10 @@ from kvasir.llm.common import sliced, stage, table
 
 CAPACITY = 2048
 SHARD = 2048
-ISLANDS = 2
-EPOCHS = 2
-GENERATIONS = 8
-POPULATION = 4
+ISLANDS = 4
+EPOCHS = 3
+GENERATIONS = 100
+POPULATION = 16
 LEVELS = 2
 LOOSE = 0.97
 
@@ -163,7 +164,7 @@ def first_population(sizes: list[int], rng: np.random.Generator, capacity: int)
     return out
 
 
-_STATE = "shard long, island int, sizes array<int>, population array<array<int>>, elite array<int>, n_bins int"
+_STATE = "shard long, island int, sizes array<int>, population array<array<int>>, elite array<int>, n_bins int, n_first int, bound int"
 
 
 def _epoch(capacity: int, seed: int):
@@ -173,18 +174,22 @@ def _epoch(capacity: int, seed: int):
                 rng = np.random.default_rng([seed, row["shard"] & 0x7FFFFFFFFFFFFFFF, row["island"]])
                 sizes = row["sizes"]
                 was = [_from_assignment(sizes, capacity, a) for a in [*(row["population"] or []), *([row["elite"]] if row["elite"] else [])]]
-                found = evolve(sizes, (was or first_population(sizes, rng, capacity)), GENERATIONS, rng, capacity)[:POPULATION]
+                was = was or first_population(sizes, rng, capacity)  # best fit decreasing comes first
+                found = evolve(sizes, list(was), GENERATIONS, rng, capacity)[:POPULATION]
                 done = found[0].assignment()
+                first = row["n_first"] or len(was[0].bins)
                 yield pa.RecordBatch.from_pylist(
-                    [{"shard": row["shard"], "island": row["island"], "sizes": sizes, "population": [p.assignment() for p in found], "elite": done, "n_bins": len(found[0].bins)}],
-                    pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("sizes", pa.list_(pa.int32())), ("population", pa.list_(pa.list_(pa.int32()))), ("elite", pa.list_(pa.int32())), ("n_bins", pa.int32())]),
+                    [{"shard": row["shard"], "island": row["island"], "sizes": sizes, "population": [p.assignment() for p in found], "elite": done,
+                      "n_bins": len(found[0].bins), "n_first": first, "bound": math.ceil(sum(sizes) / capacity)}],
+                    pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("sizes", pa.list_(pa.int32())), ("population", pa.list_(pa.list_(pa.int32()))), ("elite", pa.list_(pa.int32())),
+                               ("n_bins", pa.int32()), ("n_first", pa.int32()), ("bound", pa.int32())]),
                 )
 
     return run
 
 
-def _pack_level(items: DataFrame, n: int, level: int, capacity: int, shard_size: int) -> DataFrame:
-    """``uid, length, shard, bin, fill`` of ``items(uid, length)``, dealt to ``ceil(n / shard_size)`` shards."""
+def _pack_level(items: DataFrame, n: int, level: int, capacity: int, shard_size: int) -> tuple[DataFrame, DataFrame]:
+    """``uid, length, shard, bin`` of ``items(uid, length)``, dealt to ``ceil(n / shard_size)`` shards; and per shard its bound, bins of best fit decreasing, and bins."""
     spark = items.sparkSession
     n_shards = max(1, -(-n // shard_size))
     shards = stage(
@@ -194,27 +199,42 @@ def _pack_level(items: DataFrame, n: int, level: int, capacity: int, shard_size:
     )
     tasks = max(spark.sparkContext.defaultParallelism, min(n_shards * ISLANDS, 4 * spark.sparkContext.defaultParallelism, n_shards))
     state = shards.select("shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), F.col("items.size").alias("sizes"),
-                          F.lit(None).cast("array<array<int>>").alias("population"), F.lit(None).cast("array<int>").alias("elite"))
+                          F.lit(None).cast("array<array<int>>").alias("population"), F.lit(None).cast("array<int>").alias("elite"), F.lit(None).cast("int").alias("n_first"))
+    done = None
     for epoch in range(EPOCHS):
         if epoch:
+            # a shard rests when one of its islands has reached the bound
+            resting = state.groupBy("shard").agg(F.min("n_bins").alias("n"), F.min("bound").alias("bound")).filter("n <= bound").select("shard")
+            rested, state = state.join(resting, "shard", "left_semi"), state.join(resting, "shard", "left_anti")
+            done = rested if done is None else done.unionByName(rested)
+            if state.isEmpty():
+                break
             elites = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), "elite")
-            state = state.drop("elite", "n_bins").join(elites, ["shard", "island"])
-        state = stage(state.select("shard", "island", "sizes", "population", "elite").repartition(tasks, "shard", "island").mapInArrow(_epoch(capacity, level * 97 + epoch), _STATE), "op2-epoch")
-    best = state.groupBy("shard").agg(F.min_by("elite", F.struct("n_bins", "island")).alias("of"))
+            state = state.drop("elite").join(elites, ["shard", "island"])
+        state = stage(state.select("shard", "island", "sizes", "population", "elite", "n_first").repartition(tasks, "shard", "island").mapInArrow(_epoch(capacity, level * 97 + epoch), _STATE), "op2-epoch")
+    state = state if done is None else done.unionByName(state)
+    best = state.groupBy("shard").agg(F.min_by("elite", F.struct("n_bins", "island")).alias("of"), F.min("bound").alias("bound"), F.max("n_first").alias("n_first"), F.min("n_bins").alias("n_bins"))
+    best = stage(best, "op2-best")
     placed = shards.join(best, "shard").select("shard", F.explode(F.arrays_zip(F.col("items.uid").alias("uid"), F.col("items.size").alias("size"), F.col("of").alias("bin"))).alias("x"))
     placed = stage(placed.select("shard", F.col("x.uid").alias("uid"), F.col("x.size").cast("long").alias("length"), F.col("x.bin").alias("bin")), "op2-placed")
-    return placed
+    return placed, best.drop("of")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD) -> DataFrame:
-    """``uid, sequence_id, offset`` of staged ``items(uid, length)``, every length from 1 to ``capacity``."""
+def pack(items: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, report: list | None = None) -> DataFrame:
+    """``uid, sequence_id, offset`` of staged ``items(uid, length)``, every length from 1 to ``capacity``.
+
+    ``report``, if given, receives for each level its number of shards, of those that were searched, and
+    the sums of lower bounds, of bins by best fit decreasing, and of bins found.
+    """
     full = items.filter(F.col("length") >= capacity).select("uid", (F.col("uid") + F.lit(7 << 56)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     todo, out = items.filter(F.col("length") < capacity).select("uid", "length"), [full]
     for level in range(LEVELS + 1):
         n = todo.count()
         if not n:
             break
-        placed = _pack_level(todo, n, level, capacity, shard_size)
+        placed, shards = _pack_level(todo, n, level, capacity, shard_size)
+        if report is not None:
+            report.append(shards.agg(F.count(F.lit(1)).alias("shards"), F.count_if(F.expr("n_first > bound")).alias("searched"), F.sum("bound").alias("bound"), F.sum("n_first").alias("best_fit"), F.sum("n_bins").alias("bins")).first().asDict())
         bins = placed.groupBy("shard", "bin").agg(F.sum("length").alias("fill"), F.array_sort(F.collect_list(F.struct("uid", "length"))).alias("own"))  # capacity pieces at most
         last = level == LEVELS or n <= shard_size
         shut = bins if last else bins.filter(F.col("fill") >= int(LOOSE * capacity))

@@ -115,14 +115,56 @@ def test_packing_of_nothing(spark, empty):
     assert op2_packing.op2_packing(spark, empty).collect() == []
 
 
+def triplets(rng, n, capacity=1000):
+    """Sizes that fill ``n`` bins to the brim, three to a bin: best fit decreasing cannot find that."""
+    out = []
+    for _ in range(n):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, (capacity - a) // 2 + 1))
+        out += [a, b, capacity - a - b]
+    return out
+
+
 def test_genetic_packing_keeps_every_item_and_beats_best_fit():
-    rng = np.random.default_rng(4)
-    sizes = rng.integers(200, 900, 120).tolist()
-    first = op2_packing.first_population(sizes, rng, 2048)
-    start = len(first[0].bins)
-    best = op2_packing.evolve(sizes, first, 60, rng, 2048)[0]
-    assert sorted(i for b in best.bins for i in b) == list(range(120)) and max(best.fill) <= 2048
-    assert best.fill == [sum(sizes[i] for i in b) for b in best.bins] and len(best.bins) <= start
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        sizes = triplets(rng, 40)
+        first = op2_packing.first_population(sizes, rng, 1000)
+        start = len(first[0].bins)
+        best = op2_packing.evolve(sizes, first, 200, rng, 1000)[0]
+        assert sorted(i for b in best.bins for i in b) == list(range(len(sizes))) and max(best.fill) <= 1000
+        assert 40 <= len(best.bins) <= start - 2
+
+
+def test_crossover_injects_whole_bins_and_finds_the_better_packing():
+    """Best fit decreasing needs three bins; a parent that holds one well-filled bin passes it on, and two are enough."""
+    sizes = [4, 4, 3, 3, 3, 3]  # two bins of 4+3+3 fill a capacity of 10
+    best_fit = op2_packing.Packing(sizes, 10).insert(list(range(6)))
+    giver = op2_packing.Packing(sizes, 10, [[0, 2, 3], [1, 4], [5]])
+    assert len(best_fit.bins) == 3
+    child = op2_packing.crossover(best_fit, giver, np.random.default_rng(0))
+    assert [0, 2, 3] in [sorted(b) for b in child.bins] and len(child.bins) == 2
+    assert sorted(i for b in child.bins for i in b) == list(range(6))
+
+
+def test_islands_beat_best_fit(spark):
+    """Over Spark: a hard shard is searched, its bins are fewer than best fit decreasing's, and the report says so."""
+    rng = np.random.default_rng(5)
+    sizes = triplets(rng, 30)
+    df = spark.createDataFrame(list(enumerate(sizes)), "uid long, length long")
+    report = []
+    got = op2_packing.pack(df, 1000, report=report).collect()
+    assert len(got) == len(sizes) and len({r.sequence_id for r in got}) == report[-1]["bins"]
+    assert report[-1]["searched"] == 1 and report[-1]["bound"] == 30 <= report[-1]["bins"] < report[-1]["best_fit"]
+    fill = {}
+    for r in got:
+        fill.setdefault(r.sequence_id, []).append((r.offset, sizes[r.uid]))
+    for own in fill.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 1000
 
 
 def test_packing_over_shards(spark):
