@@ -204,8 +204,103 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], counts[order]
 
 
+def set_bits(hashes: np.ndarray) -> bytes:
+    """A bitmap of a set, a bit for each hash modulo its length, which is two to four times the set's size."""
+    size = max(256, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 256
+    out = np.zeros(size, np.uint8)
+    out[hashes.view(np.uint64) & np.uint64(size - 1)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _folded(rows: np.ndarray, width: int) -> np.ndarray:
+    while rows.shape[1] > width:
+        rows = rows[:, : rows.shape[1] // 2] | rows[:, rows.shape[1] // 2 :]
+    return rows
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these bitmaps (rows of one width) and sizes can be similar: a bit that one alone has is a member that the other lacks."""
+    wide = lambda x: np.bitwise_count(np.ascontiguousarray(x).view(np.uint64)).sum(1, dtype=np.int64)
+    both = np.minimum(n_a - wide(a & ~b), n_b - wide(b & ~a))
+    return both >= similarity / (1 + similarity) * (n_a + n_b) - 1e-6
+
+
+def _pairs_may_link(batches, similarity: float):
+    """The ``a, b`` of ``a, b, na, nb, xa, xb`` rows that can be similar."""
+    for part in sliced(batches, 4):
+        n_a, n_b = (part.column(k).to_numpy() for k in (2, 3))
+        x, y = part.column(4).to_pylist(), part.column(5).to_pylist()
+        size = np.array([(len(u), len(v)) for u, v in zip(x, y)], np.int64).reshape(-1, 2)
+        keep = np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b) - 1e-9
+        for w, v in np.unique(size[keep], axis=0).tolist():
+            at = np.flatnonzero(keep & (size[:, 0] == w) & (size[:, 1] == v))
+            rows = [np.frombuffer(b"".join([z[i] for i in at]), np.uint8).reshape(len(at), -1) for z in (x, y)]
+            rows = [_folded(r, min(w, v)) for r in rows]
+            keep[at] = may_link(*rows, n_a[at].astype(np.int64), n_b[at].astype(np.int64), similarity)
+        at = pa.array(np.flatnonzero(keep))
+        yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at)], ["a", "b"])
+
+
+def candidate_forest(sizes: np.ndarray, bits: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Pairs that can be similar, one fewer than members in each component, that connect what all such pairs connect."""
+    order = np.argsort(sizes, kind="stable")
+    n = sizes[order].astype(np.int64)
+    raw = [bits[i] for i in order.tolist()]
+    width = np.array([len(x) for x in raw])  # ascends with the size
+    group, out = np.arange(len(n)), []
+    upto = np.searchsorted(n, n / similarity + 1e-6, side="right")
+    folded: dict[int, tuple[int, np.ndarray]] = {}
+    for i in range(len(n) - 1):
+        w, end = int(width[i]), int(upto[i])
+        if end <= i + 1:
+            continue
+        if w not in folded:
+            # rows of this width and, folded, those of twice the width: no larger set can be similar
+            first, mid, last = np.searchsorted(width, [w, 2 * w, 4 * w])
+            own = [np.frombuffer(b"".join(raw[first:mid]), np.uint8).reshape(-1, w)]
+            if last > mid:
+                own.append(_folded(np.frombuffer(b"".join(raw[mid:last]), np.uint8).reshape(-1, 2 * w), w))
+            folded[w] = (int(first), np.concatenate(own))
+        first, rows = folded[w]
+        js = np.arange(i + 1, end)
+        js = js[group[js] != group[i]]
+        if not len(js):
+            continue
+        js = js[may_link(rows[i - first][None], rows[js - first], n[i], n[js], similarity)]
+        for j in js.tolist():
+            if group[j] != group[i]:
+                out.append((int(order[i]), int(order[j])))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def _forests(similarity: float):
+    """Over rows ``token, t, v, uid, n, bits`` sorted by the first three: ``a, b`` of each group's candidate forest."""
+
+    def run(batches):
+        held, key = [], None
+
+        def settle():
+            uid = np.array([r[3] for r in held], np.int64)
+            found = candidate_forest(np.array([r[4] for r in held]), [r[5] for r in held], similarity) if len(held) > 1 else []
+            ends = uid[np.array(found, np.int64).reshape(-1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], ["a", "b"])
+
+        for part in sliced(batches, 5):
+            for row in zip(*(c.to_pylist() for c in part.columns)):
+                if row[:3] != key:
+                    if len(held) > 1:
+                        yield settle()
+                    held, key = [], row[:3]
+                held.append(row)
+        if len(held) > 1:
+            yield settle()
+
+    return run
+
+
 def _signatures(texts: DataFrame, k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``uid, id, tag, h, n, fp, prefix`` of ``id, tag, text``: a row's number, hash and size of the text's shingle set, its fingerprint and first shingles.
+    """``uid, id, tag, h, n, fp, bits, prefix`` of ``id, tag, text``: a row's number, hash, size and bitmap of the text's shingle set, its fingerprint and first shingles.
 
     Sets of similarity s share at least ``ceil(s * n)`` shingles of either, so their first
     ``n - ceil(s * n) + 1`` in any one order have one in common.  The order is common shingles last.
@@ -219,7 +314,7 @@ def _signatures(texts: DataFrame, k: int, similarity: float, common: tuple[np.nd
         uid = TaskContext.get().partitionId() << 32
         for part in sliced(batches, 2):
             rows = [_shingle_hashes(t, k) for t in part.column(2).to_pylist()]
-            hashes, sizes, firsts = [], [], []
+            hashes, sizes, bits, firsts = [], [], [], []
             for row in rows:
                 own = np.unique(np.array(row, np.uint64)).view(np.int64)
                 n = len(own)
@@ -230,13 +325,14 @@ def _signatures(texts: DataFrame, k: int, similarity: float, common: tuple[np.nd
                     weight = np.where(tokens[place] == own, counts[place], 0)
                 hashes.append(_signed(xxh64_intdigest(own.tobytes(), 42)))
                 sizes.append(n)
+                bits.append(set_bits(own))
                 firsts.append(own[np.lexsort((own, weight))[:upto]])
             columns = [pa.array(np.arange(uid, uid + len(rows))), part.column(0), part.column(1), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()),
-                       pa.array(simhash(rows).view(np.int64)), pa.array(firsts, pa.list_(pa.int64()))]
+                       pa.array(simhash(rows).view(np.int64)), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
             uid += len(rows)
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "id", "tag", "h", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "id", "tag", "h", "n", "fp", "bits", "prefix"])
 
-    return texts.select("id", "tag", "text").mapInArrow(run, "uid long, id long, tag long, h long, n int, fp long, prefix array<long>")
+    return texts.select("id", "tag", "text").mapInArrow(run, "uid long, id long, tag long, h long, n int, fp long, bits binary, prefix array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -270,17 +366,11 @@ def connect(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> lis
     return out
 
 
-def _linked_in_tiles(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links that connect all similar pairs that share a token of ``token, uid, head, root``.
-
-    What tokens chain together is one lot, so that a pair meets once however many it shares; a lot is
-    dealt to tiles of about ``TILE_SHINGLES``, and a task compares two tiles.
-    """
-    lots = components(rest.select(F.col("head").alias("a"), F.col("uid").alias("b")))
-    members = rest.select("uid", "root").distinct().join(lots.select(F.col("node").alias("uid"), F.col("root").alias("lot")), "uid", "left").withColumn("lot", F.coalesce("lot", "uid"))
-    own = stage(sets.join(members, "uid"), "op6-lots")
+def _linked_in_tiles(lots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links that connect all similar pairs of each lot of ``uid, lot, root``; a lot is dealt to tiles of about ``TILE_SHINGLES``, and a task compares two."""
+    own = stage(sets.join(lots, "uid"), "op6-lots")
     tiles = own.groupBy("lot").agg(F.ceil(F.sum(F.size("set")) / TILE_SHINGLES).cast("int").alias("tiles"))
-    own = own.join(tiles, "lot").withColumn("t", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
+    own = own.join(stage(tiles, "op6-tiles"), "lot").withColumn("t", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
     dealt = own.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("lot", F.least("t", "v").alias("t"), F.greatest("t", "v").alias("v"), "uid", "root", "set")
 
     def run(rows: pa.Table) -> pa.Table:
@@ -299,9 +389,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     A pair links if the Jaccard similarity of its distinct ``shingle``-word shingles is ``similarity`` or
     more; a group is what links connect.  Texts of equal sets are copies, so are texts without a word.
     Pairs are proposed by ``links`` of the fingerprints, and by each shared prefix shingle with its first
-    holder, and verified.  As similar texts can differ in more bits than blocks can bear, the rest is
-    settled exactly: every similar pair shares a prefix shingle, so what such shingles hold and proposals
-    did not connect is compared in tiles.  A row that repeats another's doc_id and text is that row.
+    holder; bitmaps of the sets tell which cannot be similar, and the others are verified.  As similar texts
+    can differ in more bits than blocks can bear, the rest is settled exactly: every similar pair shares a
+    prefix shingle, whose holders' bitmaps are all compared, and what such candidates chain together and
+    proposals did not connect is compared by the sets, in tiles.  A row that repeats another's doc_id and
+    text is that row.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -310,30 +402,45 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     all_rows = scratch(spark, "op6-signatures")
     signed = stage(_signatures(texts, shingle, similarity, _common(texts.select("text"), shingle)), "op6-signatures", all_rows)
     first = signed.groupBy("h", "n").agg(F.min(F.struct("id", "uid")).alias("rank")).select("rank.uid")
-    live = stage(signed.join(first, "uid", "left_semi").select("uid", "id", "tag", "fp", "prefix"), "op6-live")
+    live = stage(signed.join(first, "uid", "left_semi").drop("h"), "op6-live")
     drop(spark, all_rows)
 
     postings = live.select("uid", F.explode("prefix").alias("token"))
     # written before it is joined: Spark then splits the rows of a hot shingle among tasks
-    sizes = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("head")).filter("c > 1").select("token", "head")
+    sizes = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("head")).filter("c > 1")
     keyed = stage(postings.join(stage(sizes, "op6-sizes"), "token"), "op6-keyed")
-    wanted = live.select("uid", "id", "tag").join(keyed.select("uid").distinct(), "uid", "left_semi")
-    met = texts.join(wanted.hint("merge"), ["id", "tag"]).dropDuplicates(["id", "tag"])
-    sets = stage(_shingle_sets(met.select("uid", "text"), shingle), "op6-sets")
+    marks = live.select("uid", "n", "bits")
+    x, y = (marks.select(F.col("uid").alias(u), F.col("n").alias(f"n{u}"), F.col("bits").alias(f"x{u}")) for u in "ab")
 
     words = stage(live.groupBy("fp").agg(F.min("uid").alias("uid")), "op6-words")
     near = links(words.select("fp"), words.count())
-    near = near.join(words.select(F.col("fp").alias("a"), F.col("uid").alias("x")), "a").join(words.select(F.col("fp").alias("b"), F.col("uid").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    near = near.join(words.select(F.col("fp").alias("a"), F.col("uid").alias("p")), "a").join(words.select(F.col("fp").alias("b"), F.col("uid").alias("q")), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
     same = live.select("fp", F.col("uid").alias("b")).join(words.withColumnRenamed("uid", "a"), "fp").select("a", "b")
     stars = keyed.select(F.col("head").alias("a"), F.col("uid").alias("b"))
-    proposed = stars.unionByName(near).unionByName(same).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = stars.unionByName(near).unionByName(same).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    proposed = stage(met.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(lambda batches: _pairs_may_link(batches, similarity), "a long, b long"), "op6-proposed")
+
+    # shingles of three or more holders of which one cannot be similar to the first: all their pairs are looked at
+    apart = keyed.filter("c > 2 AND uid != head").join(proposed.select(F.col("a").alias("head"), F.col("b").alias("uid")), ["head", "uid"], "left_anti").select("token").distinct()
+    rest = keyed.join(stage(apart, "op6-apart"), "token", "left_semi")
+    rest = rest.withColumn("tiles", F.ceil(F.col("c") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
+    rest = rest.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("token", F.least("t", "v").alias("t"), F.greatest("t", "v").alias("v"), "uid")
+    rest = rest.join(marks, "uid").select("token", "t", "v", "uid", "n", "bits").repartition("token", "t", "v").sortWithinPartitions("token", "t", "v")
+    candidates = proposed.unionByName(stage(rest.mapInArrow(_forests(similarity), "a long, b long").distinct(), "op6-candidates"))
+
+    chained = components(candidates)
+    lots = chained.select(F.col("node").alias("uid"), F.col("root").alias("lot")).unionByName(chained.select(F.col("root").alias("uid"), F.col("root").alias("lot")).distinct())
+    lots = stage(lots, "op6-lots")
+    wanted = live.select("uid", "id", "tag").join(lots.select("uid"), "uid", "left_semi")
+    found = texts.join(wanted.hint("merge"), ["id", "tag"]).dropDuplicates(["id", "tag"])
+    sets = stage(_shingle_sets(found.select("uid", "text"), shingle), "op6-sets")
     linked = _similar(proposed, sets, similarity)
-
     roots = components(linked)
-    named = keyed.join(roots, keyed.uid == roots.node, "left").select("token", "uid", "head", F.coalesce("root", "uid").alias("root"))
-    mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
-    rest = stage(named.join(stage(mixed, "op6-mixed"), "token", "left_semi"), "op6-rest")
-    roots = components(linked.unionByName(_linked_in_tiles(rest, sets, similarity)))
+    named = stage(lots.join(roots, lots.uid == roots.node, "left").select("uid", "lot", F.coalesce("root", "uid").alias("root")), "op6-named")
+    mixed = named.groupBy("lot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("lot")
+    open_lots = named.join(stage(mixed, "op6-mixed"), "lot", "left_semi").select("uid", "lot", "root")
+    roots = components(linked.unionByName(_linked_in_tiles(open_lots, sets, similarity)))
+
     groups = live.select("uid", "id", "tag").join(roots, live.uid == roots.node, "left").withColumn("root", F.coalesce("root", "uid"))
     kept = groups.groupBy("root").agg(F.min(F.struct("id", "uid", "tag")).alias("rank")).select("rank.id", "rank.tag")
     own = docs.select(*keys, "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
