@@ -6,12 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where ``body`` names it often or in a lambda."""
+    return F.get(F.transform(F.array(value), lambda c: body(c)), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def magnitude(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(quadrance(a))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -28,19 +33,27 @@ def multiply(a: Column, k: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """A unit vector; null for the zero vector."""
-    m = magnitude(a)
-    return F.when(m > 0, F.transform(a, lambda x: x / m))
+    def unit(own: Column) -> Column:
+        return let(magnitude(own), lambda m: F.when(m > 0, F.transform(own, lambda x: x / m)))
+
+    return let(a, unit)
 
 
 def cross(a: Column, b: Column) -> Column:
-    g = lambda v, i: F.element_at(v, i)
-    return F.array(*[g(a, i) * g(b, j) - g(a, j) * g(b, i) for i, j in ((2, 3), (3, 1), (1, 2))])
+    def of(both: Column) -> Column:
+        g = lambda k, i: F.element_at(both[k], i)
+        return F.array(*[g("a", i) * g("b", j) - g("a", j) * g("b", i) for i, j in ((2, 3), (3, 1), (1, 2))])
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def angle(a: Column, b: Column) -> Column:
     """Degrees between two vectors."""
-    c = dot(a, b) / (magnitude(a) * magnitude(b))
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
+    def of(both: Column) -> Column:
+        c = dot(both["a"], both["b"]) / (magnitude(both["a"]) * magnitude(both["b"]))
+        return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def compass_angle(a: Column) -> Column:
@@ -88,7 +101,7 @@ def direction(name: str) -> Column:
 
 
 def quadrance(a: Column) -> Column:
-    return dot(a, a)
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
 
 
 def spread(a: Column, b: Column) -> Column:

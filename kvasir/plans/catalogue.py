@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvasir.plans import analysis, extras, graphs, language
+from kvasir.plans import analysis, extras, graphs, language, shapes
 
-QUERIES: dict = {**language.QUERIES, **graphs.QUERIES, **analysis.QUERIES, **extras.QUERIES}
-SQL: dict[str, str] = {**language.SQL, **graphs.SQL, **analysis.SQL, **extras.SQL}
+QUERIES: dict = {**language.QUERIES, **graphs.QUERIES, **analysis.QUERIES, **extras.QUERIES, **shapes.QUERIES}
+SQL: dict[str, str] = {**language.SQL, **graphs.SQL, **analysis.SQL, **extras.SQL, **shapes.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
