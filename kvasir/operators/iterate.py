@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 def _checkpoints(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kvasir-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="kvasir-"))
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -72,10 +75,10 @@ def spanning_forest(pairs: DataFrame) -> DataFrame:
     return chosen if chosen is not None else pairs.select("weight", "src", "dst").limit(0)
 
 
-def closure(step, facts: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Adds ``step(all, new)`` to ``facts`` until nothing is new (semi-naive)."""
+def closure(step, facts: DataFrame) -> DataFrame:
+    """Adds ``step(all, new)`` to ``facts`` until nothing is new (semi-naive), however many rounds that takes."""
     every = new = keep(facts.distinct())
-    for _ in range(max_rounds):
+    while True:
         new = keep(step(every, new).distinct().join(every, facts.columns, "left_anti"))
         if new.isEmpty():
             break

@@ -201,16 +201,23 @@ def bridges(pairs: DataFrame) -> DataFrame:
     return out.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def communities(nodes: DataFrame, pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """``node, community`` by label propagation: each round the commonest label around and at a node, the smallest on ties."""
+def communities(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``node, community`` by label propagation: each round the commonest label around and at a node, the smallest on ties.
+
+    Rounds go on until labels stay, or come back after two rounds, as symmetric votes can; then the lesser of both counts.
+    """
     arcs = undirected(pairs)
-    label = iterate.keep(nodes.select("node", F.col("node").alias("community")))
-    for _ in range(rounds):
+    before, label = None, iterate.keep(nodes.select("node", F.col("node").alias("community")))
+
+    def equal(a: DataFrame, b: DataFrame | None) -> bool:
+        return b is not None and a.join(b, ["node", "community"], "left_anti").isEmpty()
+
+    while True:
         votes = arcs.join(label, arcs.dst == label.node).select(F.col("src").alias("node"), "community").unionByName(label)
         n = votes.groupBy("node", "community").agg(F.count(F.lit(1)).alias("n"))
         new = iterate.keep(n.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community")))
-        same = new.join(label, ["node", "community"], "left_anti").isEmpty()
-        label = new
-        if same:
-            break
-    return label
+        if equal(new, label):
+            return new
+        if equal(new, before):
+            return new.unionByName(label).groupBy("node").agg(F.min("community").alias("community"))
+        before, label = label, new

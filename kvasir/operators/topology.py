@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -70,3 +70,159 @@ def boxes_as_cells(boxes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     face_vertices = boxes.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
     cell_faces = boxes.select(F.col("bid").alias("cid"), F.explode(F.sequence(F.col("bid") * 6, F.col("bid") * 6 + 5)).alias("fid"), F.lit(1).alias("side"))
     return vertices, face_vertices, cell_faces
+
+
+# --- incidence tables: who bounds whom, and what follows from it
+
+#: Dimension-ordered types and their ids.
+TYPES = {"vertex": 1, "edge": 2, "wire": 4, "face": 8, "shell": 16, "cell": 32, "cellcomplex": 64, "cluster": 128}
+
+
+def type_id(name: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv]), F.lower(name))
+
+
+def type_name(number: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for k, n in TYPES.items() for x in (n, k)]), number)
+
+
+def dimensionality(name: Column) -> Column:
+    """0 for vertices, 1 for edges and wires, 2 for faces and shells, 3 for cells and complexes; null for clusters."""
+    return F.when(F.lower(name) == "vertex", 0).when(F.lower(name).isin("edge", "wire"), 1).when(F.lower(name).isin("face", "shell"), 2).when(F.lower(name).isin("cell", "cellcomplex"), 3)
+
+
+def face_edges(face_vertices: DataFrame) -> DataFrame:
+    """``fid, a, b``: each side of each face, its lesser vertex first."""
+    w = W.partitionBy("fid").orderBy("ord")
+    s = face_vertices.withColumn("q", F.coalesce(F.lead("vid").over(w), F.first("vid").over(w)))
+    return s.select("fid", F.least("vid", "q").alias("a"), F.greatest("vid", "q").alias("b"))
+
+
+def edge_table(face_vertices: DataFrame) -> DataFrame:
+    """``a, b, faces``: the distinct edges and how many faces each bounds."""
+    return face_edges(face_vertices).groupBy("a", "b").agg(F.count_distinct("fid").alias("faces"))
+
+
+def cell_edges(face_vertices: DataFrame, cell_faces: DataFrame) -> DataFrame:
+    return cell_faces.select("cid", "fid").join(face_edges(face_vertices), "fid").select("cid", "a", "b").distinct()
+
+
+def cell_vertices(face_vertices: DataFrame, cell_faces: DataFrame) -> DataFrame:
+    return cell_faces.select("cid", "fid").join(face_vertices, "fid").select("cid", "vid").distinct()
+
+
+def sub_counts(face_vertices: DataFrame, cell_faces: DataFrame) -> DataFrame:
+    """``cid, vertices, edges, faces``: what each cell is made of."""
+    v = cell_vertices(face_vertices, cell_faces).groupBy("cid").agg(F.count(F.lit(1)).alias("vertices"))
+    e = cell_edges(face_vertices, cell_faces).groupBy("cid").agg(F.count(F.lit(1)).alias("edges"))
+    f = cell_faces.groupBy("cid").agg(F.count_distinct("fid").alias("faces"))
+    return v.join(e, "cid").join(f, "cid")
+
+
+def super_topologies(face_vertices: DataFrame, cell_faces: DataFrame) -> DataFrame:
+    """``vid, faces, cells``: how many faces and cells each vertex belongs to."""
+    f = face_vertices.groupBy("vid").agg(F.count_distinct("fid").alias("faces"))
+    c = cell_vertices(face_vertices, cell_faces).groupBy("vid").agg(F.count(F.lit(1)).alias("cells"))
+    return f.join(c, "vid")
+
+
+def adjacent_faces(face_vertices: DataFrame) -> DataFrame:
+    """``a, b``: faces that share an edge."""
+    e = face_edges(face_vertices)
+    x, y = e.select("a", "b", F.col("fid").alias("f")), e.select("a", "b", F.col("fid").alias("g"))
+    return x.join(y, ["a", "b"]).filter("f < g").select(F.col("f").alias("a"), F.col("g").alias("b")).distinct()
+
+
+def external_edges(face_vertices: DataFrame) -> DataFrame:
+    """Edges of one face only: the boundary of a shell."""
+    return edge_table(face_vertices).filter("faces = 1").select("a", "b")
+
+
+def internal_edges(face_vertices: DataFrame) -> DataFrame:
+    return edge_table(face_vertices).filter("faces > 1").select("a", "b")
+
+
+def internal_faces(cell_faces: DataFrame) -> DataFrame:
+    """Faces between cells; non-manifold in a complex."""
+    return cell_faces.groupBy("fid").agg(F.count_distinct("cid").alias("n")).filter("n > 1").select("fid")
+
+
+def centroids(vertices: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """``key, x, y, z``: the mean of the vertices of ``members(key, vid)``."""
+    return members.join(vertices, "vid").groupBy(key).agg(*[F.avg(c).alias(c) for c in "xyz"])
+
+
+def bounding_boxes(vertices: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    return members.join(vertices, "vid").groupBy(key).agg(*[f(c).alias(f"{c}{i}") for i, f in enumerate((F.min, F.max)) for c in "xyz"])
+
+
+def centre_of_mass(parts: DataFrame) -> DataFrame:
+    """The weighted mean of ``parts(x, y, z, weight)``."""
+    total = F.sum("weight")
+    return parts.agg(*[(F.sum(F.col(c) * F.col("weight")) / total).alias(c) for c in "xyz"])
+
+
+def weld(vertices: DataFrame, digits: int = 4) -> DataFrame:
+    """``vid, root``: the least vertex at the same rounded place: what merging a topology with itself joins."""
+    at = [F.round(c, digits) + F.lit(0.0) for c in "xyz"]
+    w = W.partitionBy(*at)
+    return vertices.select("vid", F.min("vid").over(w).alias("root"))
+
+
+def merged(vertices: DataFrame, face_vertices: DataFrame, digits: int = 4) -> DataFrame:
+    """``fid, root``: each face's first face with the same welded vertices."""
+    own = face_vertices.join(weld(vertices, digits), "vid").groupBy("fid").agg(F.array_sort(F.collect_set("root")).alias("k"))
+    return own.select("fid", F.min("fid").over(W.partitionBy("k")).alias("root"))
+
+
+def extreme(measures: DataFrame, key: str, value: str, largest: bool = True) -> DataFrame:
+    """All rows that share the greatest, or least, value: longest edges, largest and smallest faces."""
+    best = measures.agg((F.max if largest else F.min)(value).alias("best"))
+    return measures.join(F.broadcast(best), F.col(value) == F.col("best")).select(key, value)  # one row
+
+
+def planes(vertices: DataFrame, face_vertices: DataFrame, digits: int = 4) -> DataFrame:
+    """``fid, a, b, c, d``: the plane of each face, its normal turned so that its first nonzero part is positive."""
+    n = _area_vectors(vertices, face_vertices)
+    size = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)
+    unit = n.select("fid", "p", *[(F.round(F.col(f"n{c}") / size, digits)).alias(c) for c in "xyz"])
+    sign = F.when(F.col("x") != 0, F.signum("x")).when(F.col("y") != 0, F.signum("y")).otherwise(F.signum("z"))
+    d = -(F.col("x") * F.col("p.x") + F.col("y") * F.col("p.y") + F.col("z") * F.col("p.z"))
+    return unit.select("fid", *[(F.col(c) * sign + F.lit(0.0)).alias(k) for c, k in zip("xyz", "abc")], (F.round(d * sign, digits) + F.lit(0.0)).alias("d"))
+
+
+def cluster_faces(vertices: DataFrame, face_vertices: DataFrame) -> DataFrame:
+    """``fid, cluster``: the least face of the same plane."""
+    p = planes(vertices, face_vertices)
+    return p.select("fid", F.min("fid").over(W.partitionBy("a", "b", "c", "d")).alias("cluster"))
+
+
+def tilts(vertices: DataFrame, face_vertices: DataFrame, tilt: float = 10.0) -> DataFrame:
+    """``fid, kind``: top, bottom, vertical or inclined, by the angle of the normal to the upright."""
+    n = _area_vectors(vertices, face_vertices)
+    t = F.degrees(F.acos(F.col("nz") / F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)))
+    return n.select("fid", F.when(t <= tilt, "top").when(t >= 180 - tilt, "bottom").when(F.abs(t - 90) <= tilt, "vertical").otherwise("inclined").alias("kind"))
+
+
+def enclosing_cells(vertices: DataFrame, face_vertices: DataFrame, cell_faces: DataFrame, points: DataFrame, cell: float, tolerance: float = 1e-9) -> DataFrame:
+    """``pid, cid, status`` of ``points(pid, x, y, z)`` in convex cells: 0 inside, 1 on the boundary.
+
+    Cells are dealt to the squares of a grid of side ``cell`` that their boxes touch, so a point meets the cells of its square alone.
+    """
+    box = bounding_boxes(vertices, cell_vertices(face_vertices, cell_faces), "cid")
+    square = lambda c: F.floor(F.col(c) / cell).cast("long")
+    dealt = box.withColumn("gx", F.explode(F.sequence(square("x0"), square("x1")))).withColumn("gy", F.explode(F.sequence(square("y0"), square("y1"))))
+    near = points.withColumns({"gx": square("x"), "gy": square("y")}).join(dealt, ["gx", "gy"]).filter(" AND ".join(f"{c} BETWEEN {c}0 - {tolerance} AND {c}1 + {tolerance}" for c in "xyz"))
+    n = _area_vectors(vertices, face_vertices).select("fid", "nx", "ny", "nz", "p")
+    sides = cell_faces.select("cid", "fid", "side").join(n, "fid").join(near.select("pid", "cid", "x", "y", "z"), "cid")
+    size = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)
+    off = F.col("side") * sum((F.col(f"n{c}") * (F.col(c) - F.col(f"p.{c}")) for c in "xyz"), F.lit(0.0)) / size
+    worst = sides.groupBy("pid", "cid").agg(F.max(off).alias("off"))
+    return worst.filter(F.col("off") <= tolerance).select("pid", "cid", F.when(F.col("off") >= -tolerance, 1).otherwise(0).alias("status"))
+
+
+def transfer(targets: DataFrame, sources: DataFrame, on: str) -> DataFrame:
+    """``targets`` with the attribute maps of ``sources(on, props)`` laid over their own; where a key is in both, the source's value."""
+    s = sources.select(on, F.col("props").alias("given"))
+    keep = F.map_filter("props", lambda k, v: ~F.map_contains_key("given", k))
+    return targets.join(s, on, "left").withColumn("props", F.when(F.col("given").isNull(), F.col("props")).otherwise(F.map_concat(keep, "given"))).drop("given")

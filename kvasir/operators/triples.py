@@ -68,7 +68,7 @@ def _is_resource(c: str):
     return ~F.col(c).startswith('"')
 
 
-def rdfs_closure(t: DataFrame, max_rounds: int = 64) -> DataFrame:
+def rdfs_closure(t: DataFrame) -> DataFrame:
     """All triples that subclass, subproperty, domain and range axioms entail."""
 
     def step(every: DataFrame, new: DataFrame) -> DataFrame:
@@ -102,14 +102,14 @@ def rdfs_closure(t: DataFrame, max_rounds: int = 64) -> DataFrame:
             out = out.unionByName(more)
         return out
 
-    return iterate.closure(step, t.select("s", "p", "o"), max_rounds)
+    return iterate.closure(step, t.select("s", "p", "o"))
 
 
-def superclass_path(t: DataFrame, start: str, goal: str, max_depth: int = 32) -> DataFrame:
+def superclass_path(t: DataFrame, start: str, goal: str) -> DataFrame:
     """The least (shortest, then alphabetical) chain of subclass axioms from one class to another, as ``path, length``."""
     arcs = t.filter(F.col("p") == SUBCLASS).select("s", "o").distinct()
     cur = iterate.keep(t.sparkSession.range(1).select(F.array(F.lit(start)).alias("path")))
-    for _ in range(max_depth):
+    while True:  # paths that come back to a class of theirs end
         hit = cur.filter(F.element_at("path", -1) == goal)
         if not hit.isEmpty() or cur.isEmpty():
             break

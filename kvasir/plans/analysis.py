@@ -12,13 +12,18 @@ from kvasir.operators.model import text_map
 from kvasir.sources import ifc, tables
 
 
-def _event_maps(spark, d):
-    """Each user's first event's map beside the second's: ``user_id, a, b``."""
-    e = tables.table(spark, d, "events")
-    ranked = e.withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))).filter("r <= 2")
-    m = F.map_concat(text_map(event_type=F.col("event_type"), day=F.dayofmonth("ts")), F.when(F.col("r") == 1, text_map(first=F.col("event_id"))).otherwise(text_map(second=F.col("event_id"))))
-    one = lambda r, name: ranked.filter(f"r = {r}").select("user_id", m.alias(name))
-    return one(1, "a").join(one(2, "b"), "user_id")
+def _event_maps(spark, d, pairs: bool = True):
+    """Every event's map beside its user's next event's: ``user_id, a, b``; without ``pairs`` also the last ones, ``b`` null."""
+    w = W.partitionBy("user_id").orderBy("event_id")
+    e = tables.table(spark, d, "events").select("user_id", "event_id", "event_type", F.dayofmonth("ts").alias("day"))
+    e = e.withColumn("after", F.lead(F.struct("event_id", "event_type", "day")).over(w))
+    a = text_map(event_type=F.col("event_type"), day=F.col("day"), first=F.col("event_id"))
+    b = F.when(F.col("after").isNotNull(), text_map(event_type=F.col("after.event_type"), day=F.col("after.day"), second=F.col("after.event_id")))
+    return (e.filter("after IS NOT NULL") if pairs else e).select("user_id", a.alias("a"), b.alias("b"))
+
+
+def _each(spark, d):
+    return _event_maps(spark, d, pairs=False)
 
 
 def _map(expression):
@@ -26,7 +31,8 @@ def _map(expression):
 
 
 _EV = """ev AS (SELECT user_id, event_id, event_type AS t, day(ts)::VARCHAR AS dd, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
-p AS (SELECT a.user_id, a.t AS ta, b.t AS tb, a.dd AS da, b.dd AS db, a.event_id::VARCHAR AS ia, b.event_id::VARCHAR AS ib FROM ev a JOIN ev b USING (user_id) WHERE a.r = 1 AND b.r = 2)"""
+p AS (SELECT a.user_id, a.t AS ta, b.t AS tb, a.dd AS da, b.dd AS db, a.event_id::VARCHAR AS ia, b.event_id::VARCHAR AS ib FROM ev a JOIN ev b ON b.user_id = a.user_id AND b.r = a.r + 1)"""
+_E1 = "p AS (SELECT user_id, event_type AS ta, day(ts)::VARCHAR AS da, event_id::VARCHAR AS ia FROM events)"
 _BOTH = "CASE WHEN {a} = {b} THEN {a} ELSE '[\"' || {a} || '\",\"' || {b} || '\"]' END"
 _D, _TY = _BOTH.format(a="da", b="db"), _BOTH.format(a="ta", b="tb")
 
@@ -37,11 +43,11 @@ QUERIES = {
     "map_xor": _map(maps.symmetric_difference),
     "map_impose": _map(maps.impose),
     "map_imprint": _map(maps.imprint),
-    "map_remove_key": _map(lambda a, b: maps.remove_key(a, "DAY")),
-    "map_get": lambda s, d: _event_maps(s, d).select("user_id", maps.get(F.col("a"), "second", "none").alias("v")),
-    "map_filter": lambda s, d: _event_maps(s, d).filter(maps.matches(F.col("a"), "event_type", "starts with", "P")).select("user_id"),
-    "map_one_hot": lambda s, d: _event_maps(s, d).select("user_id", maps.canonical(maps.one_hot(F.col("a"), "event_type", ["click", "purchase"])).alias("m")),
-    "map_cluster_by_keys": lambda s, d: _event_maps(s, d).groupBy(maps.cluster_key(F.col("a"), ["event_type", "absent"]).alias("cluster")).agg(F.count(F.lit(1)).alias("n")),
+    "map_remove_key": lambda s, d: _each(s, d).select("user_id", maps.canonical(maps.remove_key(F.col("a"), "DAY")).alias("m")),
+    "map_get": lambda s, d: _each(s, d).select("user_id", maps.get(F.col("a"), "second", "none").alias("v")),
+    "map_filter": lambda s, d: _each(s, d).filter(maps.matches(F.col("a"), "event_type", "starts with", "P")).select("user_id"),
+    "map_one_hot": lambda s, d: _each(s, d).select("user_id", maps.canonical(maps.one_hot(F.col("a"), "event_type", ["click", "purchase"])).alias("m")),
+    "map_cluster_by_keys": lambda s, d: _each(s, d).groupBy(maps.cluster_key(F.col("a"), ["event_type", "absent"]).alias("cluster")).agg(F.count(F.lit(1)).alias("n")),
 }
 SQL = {
     "map_union": f"WITH {_EV} SELECT user_id, 'day=' || {_D} || ';event_type=' || {_TY} || ';first=' || ia || ';second=' || ib AS m FROM p",
@@ -50,11 +56,11 @@ SQL = {
     "map_xor": f"WITH {_EV} SELECT user_id, 'first=' || ia || ';second=' || ib AS m FROM p",
     "map_impose": f"WITH {_EV} SELECT user_id, 'day=' || db || ';event_type=' || tb || ';first=' || ia || ';second=' || ib AS m FROM p",
     "map_imprint": f"WITH {_EV} SELECT user_id, 'day=' || db || ';event_type=' || tb || ';first=' || ia AS m FROM p",
-    "map_remove_key": f"WITH {_EV} SELECT user_id, 'event_type=' || ta || ';first=' || ia AS m FROM p",
-    "map_get": f"WITH {_EV} SELECT user_id, 'none' AS v FROM p",
-    "map_filter": f"WITH {_EV} SELECT user_id FROM p WHERE starts_with(lower(ta), 'p')",
-    "map_one_hot": f"WITH {_EV} SELECT user_id, 'day=' || da || ';event_type_0=' || (ta = 'click')::INT || ';event_type_1=' || (ta = 'purchase')::INT || ';first=' || ia AS m FROM p",
-    "map_cluster_by_keys": f"WITH {_EV} SELECT '[\"' || ta || '\"]' AS cluster, count(*) AS n FROM p GROUP BY 1",
+    "map_remove_key": f"WITH {_E1} SELECT user_id, 'event_type=' || ta || ';first=' || ia AS m FROM p",
+    "map_get": f"WITH {_E1} SELECT user_id, 'none' AS v FROM p",
+    "map_filter": f"WITH {_E1} SELECT user_id FROM p WHERE starts_with(lower(ta), 'p')",
+    "map_one_hot": f"WITH {_E1} SELECT user_id, 'day=' || da || ';event_type_0=' || (ta = 'click')::INT || ';event_type_1=' || (ta = 'purchase')::INT || ';first=' || ia AS m FROM p",
+    "map_cluster_by_keys": f"WITH {_E1} SELECT '[\"' || ta || '\"]' AS cluster, count(*) AS n FROM p GROUP BY 1",
 }
 
 _price = lambda s, d: tables.table(s, d, "part")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kvasir.functions import colors, lists, sun, vectors
 from kvasir.operators import maps, networks
-from kvasir.plans.analysis import _EV, _PT, _event_maps, _vec
+from kvasir.plans.analysis import _E1, _PT, _each, _vec
 from kvasir.plans.graphs import _CO, _DEG, _parts, _regional
 from kvasir.sources import tables
 from kvasir.sources.tables import NATION
@@ -35,8 +35,8 @@ QUERIES = {
     "color_average": lambda s, d: _p(s, d).groupBy("p_brand").agg(colors.average_hex(colors.rgb_to_hex(F.array(F.col("p_size"), F.lit(16), F.lit(255)))).alias("hex")),
     "sun_altitude": lambda s, d: tables.table(s, d, "events").select("event_id", F.round(sun.altitude(F.lit(_LAT), F.lit(_LON), F.col("ts")), 3).alias("altitude")),
     "sun_day_length": lambda s, d: tables.table(s, d, "events").select("event_id", F.round(sun.day_length(F.lit(_LAT), F.col("ts")), 2).alias("hours")),
-    "map_set_values": lambda s, d: _event_maps(s, d).select("user_id", maps.canonical(maps.set_values(F.col("a"), ["day", "new"], [F.lit("x"), F.col("user_id")])).alias("m")),
-    "map_keys_at_value": lambda s, d: _event_maps(s, d).select("user_id", F.array_join(maps.keys_at_value(F.col("a"), "click"), ",").alias("k"), F.array_join(maps.values_at(F.col("a"), ["event_type", "none"], "-"), ",").alias("v")),
+    "map_set_values": lambda s, d: _each(s, d).select("user_id", maps.canonical(maps.set_values(F.col("a"), ["day", "new"], [F.lit("x"), F.col("user_id")])).alias("m")),
+    "map_keys_at_value": lambda s, d: _each(s, d).select("user_id", F.array_join(maps.keys_at_value(F.col("a"), "click"), ",").alias("k"), F.array_join(maps.values_at(F.col("a"), ["event_type", "none"], "-"), ",").alias("v")),
     "graph_degree_centrality": lambda s, d: networks.degree_centrality(_parts(s, d), tables.copurchase(s, d)),
     "graph_delta": lambda s, d: networks.delta(_parts(s, d), tables.copurchase(s, d)),
     "graph_is_complete": lambda s, d: networks.is_complete(*_regional(s, d)),
@@ -65,8 +65,8 @@ SQL = {
     "color_average": "SELECT p_brand, printf('#%02X%02X%02X', round(avg(p_size))::BIGINT, 16, 255) AS hex FROM part GROUP BY p_brand",
     "sun_altitude": f"WITH {_SUN} SELECT event_id, round(degrees(asin(sin(radians(51.5)) * sin(dec) + cos(radians(51.5)) * cos(dec) * cos(h))), 3) AS altitude FROM q",
     "sun_day_length": f"WITH {_SUN} SELECT event_id, round(degrees(acos((sin(radians(-0.833)) - sin(radians(51.5)) * sin(dec)) / (cos(radians(51.5)) * cos(dec)))) / 7.5, 2) AS hours FROM q",
-    "map_set_values": f"WITH {_EV} SELECT user_id, 'day=x;event_type=' || ta || ';first=' || ia || ';new=' || user_id AS m FROM p",
-    "map_keys_at_value": f"WITH {_EV} SELECT user_id, CASE WHEN ta = 'click' THEN 'event_type' ELSE '' END AS k, ta || ',-' AS v FROM p",
+    "map_set_values": f"WITH {_E1} SELECT user_id, 'day=x;event_type=' || ta || ';first=' || ia || ';new=' || user_id AS m FROM p",
+    "map_keys_at_value": f"WITH {_E1} SELECT user_id, CASE WHEN ta = 'click' THEN 'event_type' ELSE '' END AS k, ta || ',-' AS v FROM p",
     "graph_degree_centrality": f"WITH {_CO}, {_DEG} SELECT node, round(degree / ((SELECT count(*) FROM part) - 1)::DOUBLE, 9) AS centrality FROM deg",
     "graph_delta": f"WITH {_CO}, {_DEG} SELECT min(degree) AS minimum, max(degree) AS maximum FROM deg",
     "graph_is_complete": "SELECT false AS complete",
