@@ -117,3 +117,56 @@ def superclass_path(t: DataFrame, start: str, goal: str) -> DataFrame:
         # one path to each class suffices: the alphabetically first
         cur = iterate.keep(step.groupBy("o").agg(F.min(F.array_append("path", F.col("o"))).alias("path")).select("path"))
     return cur.filter(F.element_at("path", -1) == goal).agg(F.min("path").alias("path")).filter("path IS NOT NULL").select(F.array_join("path", " > ").alias("path"), (F.size("path") - 1).alias("length"))
+
+
+def add(t: DataFrame, rows: list[tuple[str, str, str]]) -> DataFrame:
+    return merge(t.select("s", "p", "o"), t.sparkSession.createDataFrame(rows, "s string, p string, o string"))
+
+
+def remove(t: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
+    """Without the triples that match the given parts."""
+    given = [F.col(c) == v for c, v in (("s", s), ("p", p), ("o", o)) if v is not None]
+    match = F.lit(True)
+    for g in given:
+        match = match & g
+    return t.filter(~match).distinct()
+
+
+def resources(t: DataFrame) -> DataFrame:
+    """``resource``: every subject, and every object that is no literal."""
+    return t.select(F.col("s").alias("resource")).union(t.filter(_is_resource("o")).select("o")).distinct()
+
+
+def literals(t: DataFrame) -> DataFrame:
+    return t.filter(~_is_resource("o")).select(F.col("o").alias("literal")).distinct()
+
+
+def instances(t: DataFrame, cls: str) -> DataFrame:
+    """``s`` of the class or, through subclass axioms, of one below it."""
+    below = rdfs_closure(t.filter(F.col("p") == SUBCLASS)).filter((F.col("p") == SUBCLASS) & (F.col("o") == cls)).select(F.col("s").alias("o"))
+    every = below.union(t.sparkSession.createDataFrame([(cls,)], "o string")).distinct()
+    return t.filter(F.col("p") == TYPE).join(every, "o", "left_semi").select("s").distinct()
+
+
+def validate(t: DataFrame) -> DataFrame:
+    """``rule, n`` of what is wrong: empty parts, literal subjects or predicates, untyped subjects, classes that are their own superclass."""
+    empty = t.filter("s IS NULL OR p IS NULL OR o IS NULL OR s = '' OR p = '' OR o = ''").select(F.lit("empty part").alias("rule"))
+    literal = t.filter(~_is_resource("s") | ~_is_resource("p")).select(F.lit("literal subject or predicate"))
+    untyped = t.filter(~F.col("p").isin(SUBCLASS, SUBPROPERTY, DOMAIN, RANGE)).select("s").distinct().join(t.filter(F.col("p") == TYPE).select("s"), "s", "left_anti").select(F.lit("untyped subject"))
+    loop = t.filter((F.col("p") == SUBCLASS) & (F.col("s") == F.col("o"))).select(F.lit("own superclass"))
+    return empty.unionAll(literal).unionAll(untyped).unionAll(loop).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def as_turtle(t: DataFrame) -> DataFrame:
+    """``s, text``: one Turtle block for each subject, its predicates in order; a subject's triples bound its row."""
+    rows = t.distinct().groupBy("s", "p").agg(F.array_join(F.array_sort(F.collect_list("o")), ", ").alias("o"))
+    own = rows.groupBy("s").agg(F.array_sort(F.collect_list(F.concat_ws(" ", F.when(F.col("p") == TYPE, "a").otherwise(F.col("p")), "o"))).alias("parts"))
+    return own.select("s", F.concat(F.col("s"), F.lit(" "), F.array_join("parts", " ; "), F.lit(" .")).alias("text"))
+
+
+def as_json(t: DataFrame) -> DataFrame:
+    return t.distinct().select(F.to_json(F.struct("s", "p", "o")).alias("value"))
+
+
+def by_json(lines: DataFrame) -> DataFrame:
+    return lines.select(F.from_json("value", "s string, p string, o string").alias("r")).select("r.*").filter("s IS NOT NULL").distinct()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvasir.plans import analysis, edits, extras, graphs, language, shapes, solids
+from kvasir.plans import analysis, edits, extras, graphs, language, semantics, shapes, solids
 
-QUERIES: dict = {**language.QUERIES, **graphs.QUERIES, **analysis.QUERIES, **extras.QUERIES, **shapes.QUERIES, **edits.QUERIES, **solids.QUERIES}
-SQL: dict[str, str] = {**language.SQL, **graphs.SQL, **analysis.SQL, **extras.SQL, **shapes.SQL, **edits.SQL, **solids.SQL}
+QUERIES: dict = {**language.QUERIES, **graphs.QUERIES, **analysis.QUERIES, **extras.QUERIES, **shapes.QUERIES, **edits.QUERIES, **solids.QUERIES, **semantics.QUERIES}
+SQL: dict[str, str] = {**language.SQL, **graphs.SQL, **analysis.SQL, **extras.SQL, **shapes.SQL, **edits.SQL, **solids.SQL, **semantics.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
