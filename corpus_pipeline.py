@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvasir.functions.shipping import ship
 from kvasir.llm import op2_packing, op3_quality, op6_simhash, op7_line_dedup, op8_suffix_dedup
-from kvasir.llm.common import scratch, table
+from kvasir.llm.common import ready, scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,24 +24,25 @@ def _as_documents(df: DataFrame, like: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    ready(spark)
     return op3_quality.judge(docs).filter("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that five or more documents share, but in the last of them."""
-    ship(spark)
+    ready(spark)
     return _as_documents(op7_line_dedup.dedup_lines(docs.select(*COLUMNS)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    ship(spark)
+    ready(spark)
     return op6_simhash.keep_one(docs.select(*COLUMNS))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without 200-byte strings that occur elsewhere too; a document without any byte left goes."""
-    ship(spark)
+    ready(spark)
     left = op8_suffix_dedup.remove_repeats(docs.select(*COLUMNS))
     return _as_documents(left.filter("text IS NULL OR text != ''"), docs)
 
@@ -51,7 +51,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences."""
     import public_tokenizers
 
-    ship(spark)
+    ready(spark)
     return op2_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

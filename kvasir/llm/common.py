@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -79,18 +81,40 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about ``most`` bytes of the text or binary ``column``; a row is never cut."""
-    for batch in batches:
-        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) + 64, dtype=np.int64)
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
-            yield batch.slice(at, end - at)
-            at = end
+    """The batches in slices of about ``most`` bytes of the text or binary ``column``; a row is never cut.
 
+    At the end what the worker holds unused goes back to the system, as workers outlive their tasks.
+    """
+    try:
+        for batch in batches:
+            upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) + 64, dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+                yield batch.slice(at, end - at)
+                at = end
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+        if trim:
+            trim(0)
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+#: Bytes of an Arrow batch that goes to a Python worker: rows of whole texts can be long.
+BATCH_BYTES = 8 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """Executors get the package's sources, and batches to Python workers a bound in bytes, unless the session's own is lower."""
     ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"\d+", spark.conf.get(name))
+    if not now or int(now[0]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,14 +10,14 @@ import numpy as np
 
 from kvasir.llm.common import SparkSession
 
-#: Slots of a worker's table of runs, ids that a slot holds, and the longest run kept: with 42 bytes a slot, 44 MB.
-SLOTS = 1 << 20
+#: Slots of a worker's table of runs, ids that a slot holds, and the longest run kept: with 42 bytes a slot, 22 MB.
+SLOTS = 1 << 19
 WIDTH = 12
 LONGEST = 64
 #: Pieces of the slow path that are kept.
 PIECES = 60_000
 #: Characters that are cut into runs at once.
-CHARS = 1 << 20
+CHARS = 1 << 19
 
 #: A space after a character that is no white space: both parts are split alike on their own.
 _CUT = re.compile(r"(?<=\S) ")
