@@ -1,13 +1,15 @@
 """SentencePiece encoding and decoding as shortest paths of a weighted finite-state transducer.
 
-The model file is compiled to a transducer of three parts: the normaliser (dummy prefix, spaces as U+2581),
-the pieces (a trie whose final states emit an id), and byte fallback (a character that no piece has emits
-its UTF-8 bytes' ids).  Composed with an input it is a lattice over the input's places; a path's weight is
-the number of its pieces, plus infinity for every neighbouring pair that the model's merges would not
-leave as it is.  In the tropical semiring (min, +) the shortest path is then the model's own result: a
-sequence is what merging leaves exactly if each of its neighbouring pairs is, so one path alone has a
-finite weight, and a place has one finite state.  That pair weight is needed as the file is a merge
-model; with plain scores as weights the shortest path is a unigram segmentation, another result.
+The model file is compiled to machines.  ``Normaliser`` is a transducer of two states: one arc from the
+first writes the dummy prefix, and arcs of the second loop copy a character or write a space as U+2581.
+The pieces are a trie whose final states emit an id at weight 1; byte fallback is an arc over a character
+that no piece has, which emits its UTF-8 bytes' ids at weight 1 each.  The merge machine reads emitted
+pieces: its state is the last one, and an arc has weight 0, or infinity if merging would not leave the
+two as neighbours.  ``shortest`` composes them with an input: a state is a place and the last piece, and
+relaxation in the tropical semiring (min, +) finds the least weight of each.  A sequence is what merging
+leaves exactly if each of its neighbouring pairs is, so the paths of finite weight are the model's own
+result.  The merge machine is needed as the file is a merge model; with plain scores as weights the
+shortest path is a unigram segmentation, another result.
 
 No piece has a U+2581 after another character (checked when compiling), so the lattice falls into chunks
 that begin with U+2581 and are solved, and remembered, apart.
@@ -38,6 +40,7 @@ PAIRS = 1_000_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _MERGES = 2
 _NO = float("-inf")
+_INFINITE = float("inf")
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -81,6 +84,23 @@ class _Cache(dict):
         return out
 
 
+class Normaliser:
+    """Arcs by (state, symbol) to (output, state); a symbol without an arc of its own is copied."""
+
+    def __init__(self, prefix: bool):
+        self.start = ("", 0) if not prefix else (SPACE, 1)
+        self.arcs = {(state, " "): (SPACE, 1) for state in (0, 1)}
+
+    def apply(self, text: str, begin: bool = True) -> str:
+        """The output of the one path that reads the text; ``begin``: from the first state, with its arc that reads nothing."""
+        first, state = self.start if begin else ("", 1)
+        out = [first]
+        for c in text:
+            written, state = self.arcs.get((state, c), (c, 1))
+            out.append(written)
+        return "".join(out)
+
+
 class Transducer:
     def __init__(self, model: bytes):
         self.pieces: list[str] = []
@@ -121,6 +141,7 @@ class Transducer:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("a piece spans words")
         self.prefix, self.fallback = prefix, fallback
+        self.normaliser = Normaliser(prefix)
         self.trie: dict = {}
         for piece, k in self.ids.items():
             node = self.trie
@@ -161,42 +182,49 @@ class Transducer:
                 worth[i] = score(parts[i] + parts[i + 1], _NO)
         return parts
 
+    def joined_weight(self, before: int, piece: int) -> float:
+        """The merge machine's arc from its state, the last piece (-1: bytes or none), over the next."""
+        return 0.0 if before < 0 or piece < 0 or self._unmoved(before, piece) else _INFINITE
+
     def shortest(self, text: str) -> list[int]:
-        """The ids on the one path of finite weight through a normalised chunk."""
-        n, trie, unmoved = len(text), self.trie, self._unmoved
-        last: list[int | None] = [None] * (n + 1)  # the piece that ends at a place, -1 for bytes
-        back = [0] * (n + 1)
-        last[0] = -1
+        """The ids on the shortest path through a normalised chunk, composed with pieces, fallback and merges."""
+        n, trie, joined = len(text), self.trie, self.joined_weight
+        # by place and last piece: the least weight, and where from
+        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
+        best[0][-1] = (0.0, 0, -1)
         for at in range(n):
-            before = last[at]
-            if before is None:
+            states = best[at]
+            if not states:
                 continue
-            node, found = trie, False
+            node, arcs, known = trie, [], False
             for end in range(at + 1, n + 1):
                 node = node.get(text[end - 1])
                 if node is None:
                     break
                 k = node.get("")
-                if k is None:
-                    continue
-                if end == at + 1:
-                    found = True
-                if last[end] is None and (before < 0 or unmoved(before, k)):
-                    last[end], back[end] = k, at
-            if not found and last[at + 1] is None:
-                last[at + 1], back[at + 1] = -1, at
-        if last[n] is None:
+                if k is not None:
+                    arcs.append((end, k, 1.0))
+                    known = known or end == at + 1
+            if not known:
+                arcs.append((at + 1, -1, float(len(text[at].encode()))))
+            for end, k, weight in arcs:
+                reached = best[end]
+                for before, (so_far, _, _) in states.items():
+                    total = so_far + weight + joined(before, k)
+                    if total < (reached[k][0] if k in reached else _INFINITE):
+                        reached[k] = (total, at, before)
+        if not best[n]:
             raise ValueError(f"no path through {text!r}")
-        out, at = [], n
+        out, at, k = [], n, min(best[n], key=lambda k: best[n][k][0])
         while at:
-            k = last[at]
+            _, start, before = best[at][k]
             if k >= 0:
                 out.append(k)
             elif self.fallback:
-                out.extend(self.byte_ids[b] for b in reversed(text[back[at] : at].encode()))
+                out.extend(self.byte_ids[b] for b in reversed(text[start:at].encode()))
             else:
                 out.append(self.unknown)
-            at = back[at]
+            at, k = start, before
         return out[::-1]
 
     def _solved(self, chunk: str) -> bytes:
@@ -219,7 +247,7 @@ class Transducer:
             if k:
                 out.append(bare("\n"))
             if "  " in line or line.endswith(" ") or SPACE in line or (lead and line.startswith(" ")):
-                normal = (SPACE if lead else "") + line.replace(" ", SPACE)
+                normal = self.normaliser.apply(line, lead)
                 out.extend(map(bare, re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", normal)))
                 continue
             words = line.split(" ")
