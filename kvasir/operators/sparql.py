@@ -41,8 +41,8 @@ class _Reader:
 
     def take(self, *wanted: str) -> str:
         token = self.now
-        if wanted and token not in wanted:
-            raise ValueError(f"expected {' or '.join(wanted)}, found {token or 'the end'}")
+        if not token or (wanted and token not in wanted):
+            raise ValueError(f"expected {' or '.join(wanted) or 'more'}, found {token or 'the end'}")
         self.at += 1
         return token
 

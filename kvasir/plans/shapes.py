@@ -20,15 +20,24 @@ def _r(c, n: int = 7):
 
 def _uv(**columns):
     """Measures of points ``u`` and ``v``, the edge ``e`` between them, and the edge ``f``, ``e`` extended."""
-    e = g.edge(F.col("u"), F.col("v"))
-    return lambda s, d: _vec(s, d).withColumn("e", e).withColumn("f", g.extend(F.col("e"), 1.0)).select("pid", *[c().alias(k) for k, c in columns.items()])
+
+    def run(spark, d):
+        df = _vec(spark, d).withColumn("e", g.edge(F.col("u"), F.col("v"))).withColumn("f", g.extend(F.col("e"), 1.0))
+        return df.select("pid", *[c().alias(k) for k, c in columns.items()])
+
+    return run
 
 
 def _part(**columns):
     """Measures of shapes whose size is the part's: columns ``rect``, ``l_``, ``t_``, ``ring``, ``box_``, made once a row."""
-    s = F.col("p_size").cast("double")
-    made = {"rect": sh.rectangle(s, 2.0), "l_": sh.l_shape(s, s * 2, s / 4, s / 5), "t_": sh.t_shape(s, s * 2, s / 4, s / 5), "ring": sh.circle(s, 12), "box_": sh.cube(s)}
-    return lambda spark, d: tables.table(spark, d, "part").select("p_partkey", "p_size", *[c.alias(k) for k, c in made.items()]).select("p_partkey", *[c().alias(k) for k, c in columns.items()])
+
+    def run(spark, d):
+        s = _S()
+        made = {"rect": sh.rectangle(s, 2.0), "l_": sh.l_shape(s, s * 2, s / 4, s / 5), "t_": sh.t_shape(s, s * 2, s / 4, s / 5), "ring": sh.circle(s, 12), "box_": sh.cube(s)}
+        df = tables.table(spark, d, "part").select("p_partkey", "p_size", *[c.alias(k) for k, c in made.items()])
+        return df.select("p_partkey", *[c().alias(k) for k, c in columns.items()])
+
+    return run
 
 
 _DIAGONAL = lambda: g.edge(g.origin(), g.point(1, 1, 0))
