@@ -327,3 +327,26 @@ def test_pipeline(spark, tmp_path):
     assert set(seen["near_duplicates"]) == clean == set(seen["repeated_strings"])
     assert all(passage not in seen["repeated_strings"][d] and len(seen["repeated_strings"][d]) > 300 for d in (40, 41, 42))
     assert {r.doc_id for r in docs.collect()} == clean and docs.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_every_template_is_found_in_every_place(spark):
+    """Each template, whole and wrapped, at the start, amid and at the end of one long line and of many; and where texts cannot hold one."""
+    rng = random.Random(6)
+    noise = lambda n: " ".join("".join(rng.choices("aeiouklmnrst", k=rng.randint(2, 8))) for _ in range(n))
+    rows, want = [(-1, None), (-2, ""), (-3, noise(3000)), (None, "Released under the MIT License.")], []
+    for name, text in op10_license.TEMPLATES.items():
+        for made in (text, noise(400) + " " + text, text + " " + noise(400), noise(5) + "\n" + "\n".join(textwrap.wrap(text, 40)) + "\n" + noise(5)):
+            rows.append((len(rows), made))
+            want.append((len(rows) - 1, name[0]))
+    rows += [rows[-1]] * 2  # repeated rows are scanned each
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license string").repartition(3)
+    got = Counter((r.doc_id, r.license) for r in op10_license.licenses(df).collect())
+    assert all(got[w] for w in want) and got[(None, "MIT")] == 1 and not any(d in (-1, -2, -3) for d, _ in got)
+    assert got[want[-1]] == 3
+
+
+def test_licenses_of_odd_rows(spark, odd, empty):
+    rows, df, folder = odd
+    got = op10_license.licenses(df)
+    assert got.columns[0] == "doc_id" and got.count() == 0
+    assert op10_license.op10_license(spark, empty).count() == 0
