@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
 A candidate block is a line that holds a cue, a run of such lines with what lies between them, and the
-lines around either that the longest template can take.  The block, in lower case with white space collapsed, is compressed alone and with each template as a zstandard
-raw dictionary; templates are ranked by the bytes that they save.  Each of them is judged by its exact
-wording, whatever it saves: the template's words are aligned with the block's, and what is missing, added or changed is
-counted and named.  A template is found if at most ``DIFFERENCES`` of its words are missing, as many words
+lines around either that the longest template can take.  For each template, windows of a block's words twice as
+long as a match can be, overlapping by as much, are compressed alone and with the template's words as a zstandard
+raw dictionary.  A template that saves bytes of a window is proposed there, however many others save more, and nothing else is.
+Each proposal is judged by its exact wording: the template's words are aligned with the window's, and what is missing, added or changed is
+counted and named.  Around a match templates are ranked by the bytes that they save of its text, white space collapsed.  A template is found if at most ``DIFFERENCES`` of its words are missing, as many words
 are added within, and no number in it (a version) differs.
 
 Defined results: a null or empty text has no block; every place that a template matches is a row with the
@@ -69,6 +70,8 @@ CUES = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant",
 GAP = 12
 DIFFERENCES = 0.2
 LEVEL = 3
+#: Proposals parse optimally: at lower levels the greedy parse can hide what a short template saves.
+PROPOSE = 19
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-/][a-z0-9]+)*")
 _CUE = re.compile("|".join(r"\s+".join(map(re.escape, c.split())) for c in CUES))
@@ -124,7 +127,10 @@ class Scanner:
         normal = [" ".join(t.lower().split()) for t in templates.values()]
         self.words = [_WORD.findall(t) for t in normal]
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
-        self.given = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in normal]
+        with_dict = lambda level, t: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        self.given = [with_dict(LEVEL, t) for t in normal]
+        self.propose, self.proposers = zstandard.ZstdCompressor(level=PROPOSE), [with_dict(PROPOSE, " ".join(w)) for w in self.words]
+        self.size = lru_cache(maxsize=2_000)(lambda raw: len(self.propose.compress(raw)))
         self.scan = lru_cache(maxsize=20_000)(self._scan)
 
     def saved(self, block: str) -> list[int]:
@@ -133,6 +139,11 @@ class Scanner:
         size = len(self.alone.compress(raw))
         return [size - len(c.compress(raw)) for c in self.given]
 
+    def proposed(self, k: int, words: list[str]) -> bool:
+        """Whether the template saves bytes of the words."""
+        raw = " ".join(words).encode()
+        return len(self.proposers[k].compress(raw)) < self.size(raw)
+
     def wording(self, k: int, words: list[str]) -> tuple[int, int, int, str, list[int]] | None:
         """Template words found, missing, words added within, the differences in words, and the found words' places; None if too many."""
         want = self.words[k]
@@ -163,7 +174,7 @@ class Scanner:
         return found, missing, extra, " ".join([*("-" + w for w in lost), *("+" + w for w in new)]), own
 
     def matches(self, k: int, words: list[str]) -> list[tuple]:
-        """``wording`` of each place that the template matches, in windows twice as long as a match can be."""
+        """``wording`` of each place that the template matches, in windows twice as long as a match can be of which it saves bytes."""
         want = self.words[k]
         span, out, todo = len(want) + int(max(2, DIFFERENCES * len(want))), [], [(0, len(words))]
         need = set(want)
@@ -171,7 +182,7 @@ class Scanner:
             lo, hi = todo.pop()
             for at in range(lo, max(hi - span, lo + 1), span):
                 upto = min(at + 2 * span, hi)
-                if len(need.intersection(words[at:upto])) >= len(need) - DIFFERENCES * len(want) and (got := self.wording(k, words[at:upto])):
+                if self.proposed(k, words[at:upto]) and len(need.intersection(words[at:upto])) >= len(need) - DIFFERENCES * len(want) and (got := self.wording(k, words[at:upto])):
                     own = [at + i for i in got[4]]
                     out.append((*got[:4], own))
                     todo += [(max(lo, at - span), own[0]), (own[-1] + 1, hi)]

@@ -345,6 +345,28 @@ def test_every_template_is_found_in_every_place(spark):
     assert got[want[-1]] == 3
 
 
+def test_what_compression_proposes_is_judged(monkeypatch):
+    """Changed notices amid pieces of all templates: only proposals are judged, and none that would be found is missed."""
+    rng, scanner = random.Random(9), op10_license.Scanner()
+    judged, proposed, wording = [], scanner.proposed, scanner.wording
+    monkeypatch.setattr(scanner, "proposed", lambda k, words: proposed(k, words) and (judged.append((k, tuple(words))) or True))
+    monkeypatch.setattr(scanner, "wording", lambda k, words: wording(k, words) if (k, tuple(words)) in judged[-1:] else pytest.fail("judged, but not proposed"))
+    pieces = lambda n: [w for _ in range(n) for w in (lambda t, i: t[i : i + rng.randint(1, 9)])(rng.choice(scanner.words), rng.randrange(9))]
+    for k in range(60):
+        made = list(scanner.words[k % len(scanner.words)])
+        for _ in range(rng.randint(0, 2)):
+            made.insert(rng.randint(1, len(made) - 1), "other")
+        block = " ".join(pieces(rng.randint(0, 30)) + made + pieces(rng.randint(0, 30)))
+        got = scanner._scan(block)
+        with monkeypatch.context() as m:
+            m.setattr(scanner, "proposed", lambda k, words: True)
+            m.setattr(scanner, "wording", wording)
+            assert got == scanner._scan(block) and got
+    with monkeypatch.context() as m:
+        m.setattr(scanner, "proposed", lambda k, words: False)
+        assert scanner._scan("Released under the MIT License.".lower()) == []
+
+
 def test_licenses_of_odd_rows(spark, odd, empty):
     rows, df, folder = odd
     got = op10_license.licenses(df)
