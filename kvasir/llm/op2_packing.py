@@ -67,25 +67,32 @@ def pieces(docs: DataFrame, tokenizer_path: str, kind: str = "word", end_id: int
 
 
 class Packing:
-    """Bins of item numbers, with their fills."""
+    """Bins of item numbers, with their fills.  Once made, others share its bins: ``insert`` takes copies of those it adds to."""
 
-    def __init__(self, sizes: list[int], capacity: int, bins: list[list[int]] | None = None):
+    def __init__(self, sizes: list[int], capacity: int, bins: list[list[int]] | None = None, fill: list[int] | None = None):
         self.sizes, self.capacity = sizes, capacity
         self.bins = bins or []
-        self.fill = [sum(sizes[i] for i in b) for b in self.bins]
+        self.fill = [sum(map(sizes.__getitem__, b)) for b in self.bins] if fill is None else fill
+        self._worth: tuple[int, int] | None = None
 
     def insert(self, items: list[int]) -> Packing:
         """Best fit: each item, in the order given, to the fullest bin that can take it."""
-        room = sorted((self.capacity - f, k) for k, f in enumerate(self.fill) if f < self.capacity)
+        room = sorted([(self.capacity - f, k) for k, f in enumerate(self.fill) if f < self.capacity])
+        self._worth = None
+        owned: set[int] = set()
         for i in items:
             size = self.sizes[i]
             at = bisect_left(room, (size, -1))
             if at < len(room):
                 free, k = room.pop(at)
+                if k not in owned:
+                    self.bins[k] = list(self.bins[k])
+                    owned.add(k)
                 self.bins[k].append(i)
             else:
                 free, k = self.capacity, len(self.bins)
                 self.bins.append([i])
+                owned.add(k)
                 self.fill.append(0)
             self.fill[k] += size
             if free > size:
@@ -94,7 +101,9 @@ class Packing:
 
     def worth(self) -> tuple[int, int]:
         """Fewer bins first, then more uneven fills: full bins beside nearly empty ones."""
-        return (len(self.bins), -sum(f * f for f in self.fill))
+        if self._worth is None:
+            self._worth = (len(self.bins), -sum([f * f for f in self.fill]))
+        return self._worth
 
     def assignment(self) -> list[int]:
         out = [0] * len(self.sizes)
@@ -113,28 +122,30 @@ def _from_assignment(sizes: list[int], capacity: int, of: list[int]) -> Packing:
 
 def crossover(into: Packing, giver: Packing, rng: np.random.Generator) -> Packing:
     """``into`` with some of the giver's fullest bins: bins that share a piece with them go, and the rest of their pieces is best-fitted."""
-    ranked = sorted(range(len(giver.bins)), key=lambda k: -giver.fill[k])
+    ranked = sorted(range(len(giver.bins)), key=giver.fill.__getitem__, reverse=True)
     best = ranked[: max(1, len(ranked) // 2)]
     a, b = sorted(rng.integers(0, len(best) + 1, 2).tolist())
-    given = [giver.bins[k] for k in (best[a:b] or best[:1])]
-    held = {i for x in given for i in x}
-    kept, displaced = [], []
-    for x in into.bins:
+    chosen = best[a:b] or best[:1]
+    bins, fill = [giver.bins[k] for k in chosen], [giver.fill[k] for k in chosen]
+    held = {i for x in bins for i in x}
+    displaced = []
+    for x, f in zip(into.bins, into.fill):
         if held.isdisjoint(x):
-            kept.append(list(x))
+            bins.append(x)
+            fill.append(f)
         else:
-            displaced.extend(i for i in x if i not in held)
-    displaced.sort(key=lambda i: -into.sizes[i])
-    return Packing(into.sizes, into.capacity, [list(x) for x in given] + kept).insert(displaced)
+            displaced.extend([i for i in x if i not in held])
+    displaced.sort(key=into.sizes.__getitem__, reverse=True)
+    return Packing(into.sizes, into.capacity, bins, fill).insert(displaced)
 
 
 def mutate(p: Packing, rng: np.random.Generator) -> Packing:
     """Opens the loosest bins and a few others, and best-fits their pieces."""
     n = len(p.bins)
-    loose = set(sorted(range(n), key=lambda k: p.fill[k])[: max(2, n // 10)]) | set(rng.integers(0, n, max(1, n // 20)).tolist())
+    loose = set(sorted(range(n), key=p.fill.__getitem__)[: max(2, n // 10)]) | set(rng.integers(0, n, max(1, n // 20)).tolist())
     out = [i for k in loose for i in p.bins[k]]
-    out.sort(key=lambda i: -p.sizes[i])
-    return Packing(p.sizes, p.capacity, [list(b) for k, b in enumerate(p.bins) if k not in loose]).insert(out)
+    out.sort(key=p.sizes.__getitem__, reverse=True)
+    return Packing(p.sizes, p.capacity, [b for k, b in enumerate(p.bins) if k not in loose], [f for k, f in enumerate(p.fill) if k not in loose]).insert(out)
 
 
 def evolve(sizes: list[int], population: list[Packing], generations: int, rng: np.random.Generator, capacity: int) -> list[Packing]:

@@ -147,6 +147,17 @@ def test_crossover_injects_whole_bins_and_finds_the_better_packing():
     assert sorted(i for b in child.bins for i in b) == list(range(6))
 
 
+def test_packings_share_bins_and_stay_as_they_are():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(500, 1200, 300).tolist()
+    a, b = op2_packing.first_population(sizes, rng, 2048)[:2]
+    was = [(p.assignment(), list(p.fill), p.worth()) for p in (a, b)]
+    child = op2_packing.mutate(op2_packing.crossover(a, b, rng), rng)
+    assert [(p.assignment(), list(p.fill), p.worth()) for p in (a, b)] == was
+    assert sorted(i for x in child.bins for i in x) == list(range(300)) and child.fill == [sum(sizes[i] for i in x) for x in child.bins]
+    assert child.worth() == (len(child.bins), -sum(f * f for f in child.fill)) and {id(x) for x in child.bins} & {id(x) for x in a.bins}
+
+
 def test_islands_beat_best_fit(spark):
     """Over Spark: a hard shard is searched, its bins are fewer than best fit decreasing's, and the report says so."""
     rng = np.random.default_rng(5)
