@@ -32,7 +32,7 @@ def test_exploded_tables_are_not_broadcast(spark, name):
     assert "Generate explode" in plan and len(re.findall("BroadcastHashJoin", plan)) == ONE_ROW.get(name, 0)
 
 
-@pytest.mark.parametrize("name, shuffles", [("topo_decompose", 2), ("topo_largest_faces", 3)])
+@pytest.mark.parametrize("name, shuffles", [("topo_decompose", 2), ("topo_largest_faces", 3), ("topo_smallest_faces", 3)])
 def test_faces_of_boxes_are_measured_without_joins(spark, name, shuffles):
     plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Window" not in plan and len(re.findall(r"\bExchange ", plan)) == shuffles
