@@ -80,10 +80,18 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """What this worker holds unused goes back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+    if trim:
+        trim(0)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes of the text or binary ``column``; a row is never cut.
 
-    At the end what the worker holds unused goes back to the system, as workers outlive their tasks.
+    At the end what the worker holds unused goes back to the system.
     """
     try:
         for batch in batches:
@@ -94,10 +102,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 << 20)
                 yield batch.slice(at, end - at)
                 at = end
     finally:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
-        if trim:
-            trim(0)
+        give_back()
 
 
 #: Bytes of an Arrow batch that goes to a Python worker: rows of whole texts can be long.

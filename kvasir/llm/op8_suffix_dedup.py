@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvasir.llm import bwt
-from kvasir.llm.common import sliced, stage, table
+from kvasir.llm.common import give_back, sliced, stage, table
 
 WIDTH = 200
 ANCHOR = 48
@@ -175,6 +175,7 @@ def _shard_spans(width: int):
                 first = np.flatnonzero(np.concatenate([[True], np.diff(starts) != 1]))
                 size = np.diff(np.append(first, len(starts)))
                 out.extend((pdf.doc.iat[k], pdf.tag.iat[k], pdf.start.iat[k] + s, n) for s, n in zip(starts[first].tolist(), size.tolist()))
+        give_back()
         return pd.DataFrame(out, columns=["doc", "tag", "start", "strings"])
 
     return run

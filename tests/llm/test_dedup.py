@@ -287,3 +287,15 @@ def test_repeats_of_large_groups(spark, group):
         kept, n = op8_suffix_dedup.cut(t.encode(), by_doc[d], 60)
         got[(d, len(t), len(t) - len(kept), n, hashlib.sha256(kept).hexdigest())] += 1
     assert got == removed(rows, 60)
+
+
+def test_shards_give_memory_back(monkeypatch):
+    import pandas as pd
+
+    from kvasir.llm import op8_suffix_dedup as op8
+
+    calls = []
+    monkeypatch.setattr(op8, "give_back", lambda: calls.append(1))
+    row = {"anchor": 1, "n": 1, "place": 0, "doc": 1, "tag": 1, "start": 0}
+    found = op8._shard_spans(4)(pd.DataFrame([{**row, "content": 1, "raw": b"abcde"}, {**row, "content": 2, "raw": b"abcdf", "doc": 2}]))
+    assert calls == [1] and found.values.tolist() == [[1, 1, 0, 1], [2, 1, 0, 1]]
