@@ -12,7 +12,8 @@ result.  The merge machine is needed as the file is a merge model; with plain sc
 shortest path is a unigram segmentation, another result.
 
 No piece has a U+2581 after another character (checked when compiling), so the lattice falls into chunks
-that begin with U+2581 and are solved, and remembered, apart.
+that begin with U+2581 and are solved, and remembered, apart.  A slice's new chunks are solved in order,
+so that one takes over the states of the beginning it shares with the one before it.
 
 Defined results: a null or empty text has no ids; repeated rows keep a row each; a null doc_id is kept;
 an empty table gives no rows; other columns are ignored.
@@ -20,12 +21,13 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import struct
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from operator import add, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ from kvasir.llm.common import sliced, table
 SPACE = "▁"
 CHUNKS = 300_000
 PAIRS = 1_000_000
+PREPARED = 4 << 20
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _MERGES = 2
 _NO = float("-inf")
@@ -84,6 +87,18 @@ class _Cache(dict):
         return out
 
 
+class _Merges(dict):
+    """The merge machine's arcs out of the state ``before``: weights by the next piece, made when first asked for."""
+
+    def __init__(self, weigh, before: int):
+        super().__init__()
+        self.weigh, self.before = weigh, before
+
+    def __missing__(self, piece):
+        self[piece] = out = self.weigh(self.before, piece)
+        return out
+
+
 class Normaliser:
     """Arcs by (state, symbol) to (output, state); a symbol without an arc of its own is copied."""
 
@@ -142,32 +157,26 @@ class Transducer:
             raise ValueError("a piece spans words")
         self.prefix, self.fallback = prefix, fallback
         self.normaliser = Normaliser(prefix)
+        # read from a piece's end; a node has its arcs by character: the next node, and the piece that begins there or -1
         self.trie: dict = {}
         for piece, k in self.ids.items():
             node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = k
+            for c in piece[:0:-1]:
+                node = node.setdefault(c, ({}, -1))[0]
+            node[piece[0]] = (node.get(piece[0], ({}, -1))[0], k)
+        self.longest = max(map(len, self.ids), default=0)
         self.splits_lines = not any("\n" in p for p in self.ids)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.merges: dict[int, _Merges] = {}
+        self.pairs = 0
+        self.written = [struct.pack("<I", k) for k in range(len(self.pieces))]
         self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.parts = _Cache(lambda part: array("I", self.shortest(part)).tobytes())
+        self.parts = _Cache(lambda part: next(self.shortest([part])))
         # ids of a chunk, and of the chunk that begins with a U+2581 and goes on like the key
         self.bare, self.spaced = _Cache(self._solved), _Cache(lambda chunk: self._solved(SPACE + chunk))
         # a byte below 128 is a character whatever stands beside it; None: the piece needs its neighbours or is none
         self.spelled: list[str | None] = [chr(int(p[3:5], 16)) if k == _BYTE and int(p[3:5], 16) < 128 else p if k == _NORMAL else None for p, k in zip(self.pieces, self.kinds)]
         self.plain = np.array([t is not None for t in self.spelled])
 
-    def _unmoved(self, a: int, b: int) -> bool:
-        """Whether merging the two pieces' characters leaves just these two."""
-        key = (a, b)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
-        return known
-
     def _merged(self, text: str) -> list[str]:
         """Merges the neighbours that make the piece of the best score, the first on ties, until none make one."""
         parts, score = list(text), self.scores.get
@@ -183,59 +192,100 @@ class Transducer:
         return parts
 
     def joined_weight(self, before: int, piece: int) -> float:
-        """The merge machine's arc from its state, the last piece (-1: bytes or none), over the next."""
-        return 0.0 if before < 0 or piece < 0 or self._unmoved(before, piece) else _INFINITE
-
-    def shortest(self, text: str) -> list[int]:
-        """The ids on the shortest path through a normalised chunk, composed with pieces, fallback and merges."""
-        n, trie, joined = len(text), self.trie, self.joined_weight
-        # by place and last piece: the least weight, and where from
-        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
-        best[0][-1] = (0.0, 0, -1)
-        for at in range(n):
-            states = best[at]
-            if not states:
-                continue
-            node, arcs, known = trie, [], False
-            for end in range(at + 1, n + 1):
-                node = node.get(text[end - 1])
-                if node is None:
+        """The merge machine's arc from its state, the last piece (-1: bytes or none), over the next: infinite unless merging the two's characters leaves just these."""
+        if before < 0 or piece < 0:
+            return 0.0
+        self.pairs += 1
+        a, b = self.pieces[before], self.pieces[piece]
+        return 0.0 if self._merged(a + b) == [a, b] else _INFINITE
+
+    def shortest(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids on the shortest path through each normalised chunk, composed with pieces, fallback and merges.
+
+        The states of a place depend on the text before it alone, so where a chunk begins as the last one did they
+        are not relaxed again: sorted chunks share most of them.
+        """
+        trie, longest, ids, written, out_of, weigh = self.trie, self.longest, self.ids, self.written, self.merges, self.joined_weight
+        # by place, the states that paths of finite weight reach: the least weight, the merge machine's arcs, the state before and what the arc from it emits
+        last, best = "", [[(0.0, _Merges(weigh, -1), None, b"")]]
+        for text in texts:
+            if self.pairs >= PAIRS:
+                out_of.clear()
+                self.pairs = 0
+            same = 0
+            for x, y in zip(last, text):
+                if x != y:
                     break
-                k = node.get("")
-                if k is not None:
-                    arcs.append((end, k, 1.0))
-                    known = known or end == at + 1
-            if not known:
-                arcs.append((at + 1, -1, float(len(text[at].encode()))))
-            for end, k, weight in arcs:
-                reached = best[end]
-                for before, (so_far, _, _) in states.items():
-                    total = so_far + weight + joined(before, k)
-                    if total < (reached[k][0] if k in reached else _INFINITE):
-                        reached[k] = (total, at, before)
-        if not best[n]:
-            raise ValueError(f"no path through {text!r}")
-        out, at, k = [], n, min(best[n], key=lambda k: best[n][k][0])
-        while at:
-            _, start, before = best[at][k]
-            if k >= 0:
-                out.append(k)
-            elif self.fallback:
-                out.extend(self.byte_ids[b] for b in reversed(text[start:at].encode()))
-            else:
-                out.append(self.unknown)
-            at, k = start, before
-        return out[::-1]
+                same += 1
+            del best[same + 1 :]
+            last = text
+            for end in range(same + 1, len(text) + 1):
+                node, start, reached = trie, end, []
+                for c in text[max(0, end - longest) : end][::-1]:
+                    if (arc := node.get(c)) is None:
+                        break
+                    node, k = arc
+                    start -= 1
+                    if k >= 0:
+                        least = _INFINITE
+                        for state in best[start]:
+                            if (total := state[0] + 1.0 + state[1][k]) < least:
+                                least, before = total, state
+                        if least < _INFINITE:
+                            if (joined := out_of.get(k)) is None:
+                                joined = out_of[k] = _Merges(weigh, k)
+                            reached.append((least, joined, before, written[k]))
+                if (c := text[end - 1]) not in ids and best[end - 1]:
+                    before, spelled = min(best[end - 1], key=itemgetter(0)), c.encode()
+                    emitted = b"".join(written[self.byte_ids[b]] for b in spelled) if self.fallback else written[self.unknown]
+                    reached.append((before[0] + len(spelled), best[0][0][1], before, emitted))
+                best.append(reached)
+            if not best[-1]:
+                raise ValueError(f"no path through {text!r}")
+            out, state = [], min(best[-1], key=itemgetter(0))
+            while state is not None:
+                out.append(state[3])
+                state = state[2]
+            yield b"".join(out[::-1])
 
     def _solved(self, chunk: str) -> bytes:
         """Solved part by part: no piece spans two characters that stand together in no piece."""
-        parts, start, joined = [], 0, self.joined
-        for k in range(1, len(chunk)):
-            if chunk[k - 1 : k + 1] not in joined:
-                parts.append(chunk[start:k])
-                start = k
-        parts.append(chunk[start:])
-        return b"".join(map(self.parts.__getitem__, parts))
+        return b"".join(map(self.parts.__getitem__, self._cut(chunk)))
+
+    def _cut(self, chunk: str) -> list[str]:
+        if self.joined.issuperset(map(add, chunk, chunk[1:])):
+            return [chunk]
+        cuts = [0, *[k for k, pair in enumerate(map(add, chunk, chunk[1:]), 1) if pair not in self.joined], len(chunk)]
+        return [chunk[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def prepare(self, texts: list[str | None]) -> None:
+        """Solves what is new of the texts' words in order; ``encode`` solves the others, and those of longer texts, as they come."""
+        words: set[str] = set()
+        for text in texts:
+            if text and len(text) <= PREPARED:
+                words.update(text.split(" "))
+            if len(words) >= CHUNKS // 2:
+                self._remember(words)
+                words = set()
+        self._remember(words)
+
+    def _remember(self, words: set[str]) -> None:
+        collects = gc.isenabled()
+        gc.disable()  # no cycles arise, and the collector would visit all states and the caches again and again
+        try:
+            if len(self.spaced) + len(words - self.spaced.keys()) > CHUNKS:
+                self.spaced.clear()
+            cuts = {w: self._cut(SPACE + w) for w in words - self.spaced.keys() if "\n" not in w and SPACE not in w}
+            found = {part for parts in cuts.values() for part in parts}
+            if len(self.parts) + len(found - self.parts.keys()) > CHUNKS:
+                self.parts.clear()
+            new = sorted(found - self.parts.keys())
+            self.parts.update(zip(new, self.shortest(new)))
+            for w, parts in cuts.items():
+                self.spaced[w] = self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
+        finally:
+            if collects:
+                gc.enable()
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text, as u32."""
@@ -304,6 +354,7 @@ def compiled(model: bytes) -> Transducer:
     key = zlib.crc32(model)
     if key not in _COMPILED:
         _COMPILED[key] = Transducer(model)
+        gc.freeze()  # the machines stay, and the collector need not visit them
     return _COMPILED[key]
 
 
@@ -315,7 +366,9 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = compiled(model.value)
         for part in sliced(batches, 1):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t.encode(x).tobytes() for x in part.column(1).to_pylist()], pa.binary())], ["doc_id", "text", "ids"])
+            texts = part.column(1).to_pylist()
+            t.prepare(texts)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t.encode(x).tobytes() for x in texts], pa.binary())], ["doc_id", "text", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string, ids binary")
 

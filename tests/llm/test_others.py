@@ -1,4 +1,5 @@
 import random
+import os
 import re
 import textwrap
 from collections import Counter
@@ -230,6 +231,34 @@ def test_decoding_equals_the_library(ids):
     assert TRANSDUCER.decode(np.array(ids, np.uint32)) == LIBRARY.decode(ids)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list("  \n▁abthe inger.")), st.characters(codec="utf-8")), max_size=30), max_size=8))
+def test_prepared_words_equal_the_library(texts):
+    TRANSDUCER.spaced.clear()
+    TRANSDUCER.parts.clear()
+    TRANSDUCER.prepare([None, *texts])
+    assert [TRANSDUCER.encode(x).tolist() for x in texts] == [LIBRARY.encode(x) for x in texts]
+
+
+def test_words_are_solved_once_and_share_beginnings(monkeypatch):
+    """Sorted chunks relax a shared beginning once, and full caches start anew with the same ids."""
+    t = op9_sentencepiece.Transducer(open(MODEL, "rb").read())
+    words = sorted(f"▁{a}{b}{c}" for a in ("thering", "Ünion") for b in "aeiou" for c in ("tion", "ñez", "x$"))
+    chunks = sorted({part for w in words for part in t._cut(w)})
+    assert list(t.shortest(chunks)) == [next(t.shortest([c])) for c in chunks]
+    asked = []
+    monkeypatch.setattr(t, "trie", type("Counted", (dict,), {"get": lambda self, c: asked.append(c) or dict.get(self, c)})(t.trie))
+    list(t.shortest(chunks))
+    shared = sum(len(os.path.commonprefix(pair)) for pair in zip(chunks, chunks[1:]))
+    assert shared and len(asked) == sum(map(len, chunks)) - shared
+    monkeypatch.setattr(op9_sentencepiece, "CHUNKS", 40)
+    rng = np.random.default_rng(9)
+    for _ in range(6):
+        texts = [" ".join("".join(rng.choice(["th", "ing", "er", "ción", "$"], 4)) for _ in range(25)) for _ in range(3)]
+        t.prepare(texts)
+        assert [t.encode(x).tolist() for x in texts] == [LIBRARY.encode(x) for x in texts]
+
+
 def test_sentencepiece(spark, odd):
     import zlib
 
